@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate
+from larkspur.llm import decontaminate, jaccard_join
 
 QUERIES = {
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op8_decontamination": decontaminate.op8_decontamination,
 }
 ORACLES = {
+    "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
 }
