@@ -14,6 +14,8 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 1 << 20
+#: Texts handled at once.
+ROWS = 4096
 
 
 def _lut(is_word) -> np.ndarray:
@@ -143,6 +145,6 @@ def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + CHUNK, "right")) - 1)
+        to = min(at + ROWS, max(at + 1, int(np.searchsorted(off, off[at] + CHUNK, "right")) - 1))
         yield at, buf[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to

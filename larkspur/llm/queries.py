@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, jaccard_join
+from larkspur.llm import decontaminate, jaccard_join, quality, url_filter
 
 QUERIES = {
+    "op1_url_filters": url_filter.op1_url_filters,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_quality_classifier": quality.op9_quality_classifier,
 }
 ORACLES = {
     "op4_jaccard_join": jaccard_join.OP4_SQL,
