@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, jaccard_join, quality, url_filter
+from larkspur.llm import decontaminate, jaccard_join, mixing, quality, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op7_warc": warc.op7_warc,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality_classifier": quality.op9_quality_classifier,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
     "op4_jaccard_join": jaccard_join.OP4_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
 }
