@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, jaccard_join, mixing, quality, url_filter, warc
+from larkspur.llm import decontaminate, jaccard_join, mixing, quality, sharding, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op2_sharding": sharding.op2_sharding,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op7_warc": warc.op7_warc,
     "op8_decontamination": decontaminate.op8_decontamination,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op2_sharding": sharding.OP2_SQL,
     "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
