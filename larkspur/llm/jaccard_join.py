@@ -9,8 +9,10 @@ How the work is dealt out, all of it without loss:
 1. One pass counts shingles over all documents in a table of fixed size, by hash. It only orders shingles, rarest first.
 2. A second pass keeps of each document the size and a hash of its set, and the rarest shingles: so many that two
    linked documents must share ``need`` of them. Equal sets become one class, named by its smallest id.
-3. Classes with fewer than ``need`` of these shingles in common with any others link with nothing. The rest are tied to
-   the smallest class of each shared list (one row per list entry, no pairs), and so fall into candidate components.
+3. Classes with fewer than ``need`` of these shingles in common with any others link with nothing. The rest are looked
+   at by layers of size, so wide that linked sets share a layer; each set is in two. There the same is asked again,
+   twice, and the rest are tied to the smallest class of each shared list (one row per list entry, no pairs), and so
+   fall into candidate components.
 4. The sets of what remains are computed again and dealt out by candidate component; large components are cut into
    blocks of bounded size, each pair of blocks being one group. In a group the search above finds links between classes
    not yet connected there.
@@ -37,10 +39,10 @@ from pyspark.sql import functions as F
 from larkspur.llm._shared import components, small, written
 from larkspur.llm._text import SPACED, U, Words, mix, shingles, texts
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 _SLICES = 16
 #: Shingles held by a group at once (twice as many for a pair of blocks).
-BLOCK = 200_000
+BLOCK = 400_000
 #: Weight of a long list's length in the choice of how many lists are long.
 MU = 0.01
 
@@ -56,13 +58,13 @@ def _counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
                 g, _ = shingles(Words(buf, off, SPACED), words)
                 table += np.bincount((g >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(table))
         if table.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES)), pa.array([x.tobytes() for x in table.reshape(_SLICES, width)])], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES)), pa.array([x.astype(np.uint32).tobytes() for x in table.reshape(_SLICES, width)])], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.uint32).astype(np.int64)
         for k, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x.tobytes()])], names=["slice", "counts"])
 
@@ -95,6 +97,10 @@ class Bound:
     def prefix(self, n):
         return np.minimum(n, n - self.least(n) + self.shared(n))
 
+    def level(self, n: Column) -> Column:
+        """Linked sets have the same level or neighbouring ones."""
+        return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / self.percent) + 1e-9)).cast("int")
+
     def need(self, n: Column) -> Column:
         """Shingles that two linked documents' prefixes share at least: shared() of the smallest partner."""
         return F.greatest(F.lit(1), F.floor(F.ceil(n * F.lit(self.percent) / 100) / 20))
@@ -244,25 +250,29 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     classes = written(sets.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     reps = small(classes.select(F.col("rep").alias("id")).distinct())
     posts = sets.join(reps, "id", "left_semi").select("id", "n", F.explode("prefix").alias("token"))
-    hits = None
-    for _ in range(3):
-        if hits is not None:
-            alive = hits.groupBy("id", "n").agg(F.count("*").alias("c")).where(F.col("c") >= bound.need(F.col("n"))).select("id")
-            posts = hits.join(alive, "id", "left_semi").drop("pivot")
-        shared = posts.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("token", "pivot")
-        hits = written(posts.join(shared, "token"), "hits")
-    alive = hits.groupBy("id", "n").agg(F.count("*").alias("c")).where(F.col("c") >= bound.need(F.col("n"))).select("id", "n")
-    alive = written(alive, "alive")
-    near = components(hits.join(alive, "id", "left_semi").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-    near = near.join(alive, "id")
+    shared = posts.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("token")
+    hits = written(posts.join(shared, "token"), "hits")
+    enough = F.count("*") >= bound.need(F.min("n"))
+    alive = hits.groupBy("id").agg(enough.alias("ok")).where("ok").select("id")
+    level = bound.level(F.col("n"))
+    posts = hits.join(alive, "id", "left_semi").withColumn("layer", F.explode(F.array(level, level + 1)))
+    for _ in range(2):
+        shared = posts.groupBy("token", "layer").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
+        hits = posts.drop("pivot").join(shared, ["token", "layer"])
+        alive = hits.groupBy("id", "layer").agg(enough.alias("ok")).where("ok").select("id", "layer")
+        posts = written(hits.join(alive, ["id", "layer"], "left_semi"), "hits")
+    node = lambda c: F.xxhash64(c, "layer")  # noqa: E731  one that stands for two merges their components, which does no harm
+    alive = posts.groupBy("id", "layer").agg(F.min("n").alias("n")).withColumn("node", node("id"))
+    near = components(posts.select(node("id").alias("a"), node("pivot").alias("b")))
+    near = near.withColumnRenamed("id", "node").join(alive, "node")
     size = near.groupBy("component").agg(F.sum("n").alias("size"))
-    near = written(near.join(size, "component").select("id", "component", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "candidates")
-    total = alive.agg(F.sum("n")).first()[0] or 0
+    near = written(near.join(size, "component").select("id", "n", "component", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "candidates")
+    total = near.agg(F.sum("n")).first()[0] or 0
     buckets = int(total // block) + 1
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     held = _sets(docs.join(small(near.select(F.col("id").alias(id_)).distinct()), id_, "left_semi"), id_, text, words)
     dealt = (
-        held.join(near, "id")
+        held.join(near.drop("n"), "id")
         .withColumn("side", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")))
