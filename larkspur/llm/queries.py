@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, jaccard_join, mixing, quality, sharding, url_filter, warc
+from larkspur.llm import decontaminate, fingerprint, jaccard_join, mixing, quality, sharding, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_sharding": sharding.op2_sharding,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op6_fingerprints": fingerprint.op6_fingerprints,
     "op7_warc": warc.op7_warc,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality_classifier": quality.op9_quality_classifier,
