@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, fingerprint, jaccard_join, mixing, quality, sharding, url_filter, warc
+from larkspur.llm import decontaminate, fingerprint, jaccard_join, licenses, mixing, quality, sharding, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_sharding": sharding.op2_sharding,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op6_fingerprints": fingerprint.op6_fingerprints,
     "op7_warc": warc.op7_warc,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_sharding": sharding.OP2_SQL,
+    "op3_license_scan": licenses.OP3_SQL,
     "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
