@@ -60,7 +60,13 @@ def json_typeof(v: Column | str) -> Column:
 
 
 def _path(key: str | int) -> str:
-    return f"$[{key}]" if isinstance(key, int) else "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    """Path of a member. Keys may not hold both kinds of quotes: a path has no escapes."""
+    if isinstance(key, int):
+        return f"$[{key}]"
+    if "'" in key and '"' in key:
+        raise ValueError(f"a key with both kinds of quotes cannot be looked up: {key}")
+    quote = '"' if "'" in key else "'"
+    return f"$[{quote}{key}{quote}]"
 
 
 def json_get(v: Column | str, key: str | int | None, kind: str) -> Column:

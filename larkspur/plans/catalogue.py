@@ -127,7 +127,7 @@ def _range(bits: int, digits: int):
     top = (1 << (bits - 1)) - 1
 
     def run(spark, sf):
-        number = F.concat(F.col("o_orderkey").cast("string"), F.lit("0" * digits))
+        number = (F.col("o_orderkey").cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(18,0)")).cast("string")
         out = table(spark, sf, "orders").select("o_orderkey", json_check(number, Policy(int_bits=bits)).alias("r"))
         return out.select("o_orderkey", "r.ok", F.coalesce("r.err.code", F.lit(0)).alias("code"))
 
