@@ -130,7 +130,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(row, len(x)) for k in (0, 1, 2)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "p", "u", "x"])
 
     kind = docs.schema[id_].dataType.simpleString()
-    sample = docs.join(F.broadcast(ids), id_).select(id_, "p", "u", text)  # at most positives + unlabelled ids
+    sample = docs.select(id_, text).join(F.broadcast(ids), id_).select(id_, "p", "u", text)  # at most positives + unlabelled ids
     rows = sorted(sample.mapInArrow(compute, f"id {kind}, p int, u int, x binary").collect(), key=lambda r: (r.id, r.x))
     at = lambda keep: np.stack([np.frombuffer(r.x, np.float16) for r in rows if keep(r)]).astype(np.float32) if any(map(keep, rows)) else np.zeros((0, FEATURES), np.float32)
     return train(at(lambda r: r.p == 1), at(lambda r: r.u == 0))

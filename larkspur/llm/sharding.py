@@ -132,7 +132,8 @@ class Store:
         """The rows of a version's shards."""
         files = sorted(r.path for r in self.manifest(version).select("path").toLocalIterator())
         if not files:
-            return self.spark.createDataFrame([], schema)
+            files = [f"{self.path}/empty"]
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(files[0])
         return self.spark.read.schema(schema).parquet(*files)
 
     def vacuum(self) -> int:
@@ -174,7 +175,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents as read from their shards, with the name, size and version of the shard each is in."""
     store = shard(docs, fresh_path(spark, "shards"))
     name = F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0)
-    return store.read(docs.schema).select(*docs.columns, name.alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(store.version()).alias("manifest_version"))
+    return store.read(docs.schema).withColumns({"shard": name, "shard_bytes": F.col("_metadata.file_size"), "manifest_version": F.lit(store.version())})
 
 
 OP2_SQL = """
