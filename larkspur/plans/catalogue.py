@@ -15,6 +15,7 @@ from larkspur.functions import allow_duplicate_keys, json_check, json_each, json
 from larkspur.operators import json_assemble, json_events, json_render
 from larkspur.policy import Policy
 from larkspur.sources import split_chunks
+from larkspur.streaming import check_stream, finished
 
 WIDE = Policy.relaxed()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,6 +354,17 @@ def chunk_assembly(spark, sf):
     return parsed(got, "j").select(F.col("id").alias("doc_id"), "whole", F.col("v").isNotNull().alias("ok"), F.md5(json_get("v", "text", "string").cast("binary")).alias("md5"))
 
 
+@query("""SELECT user_id AS id, event_id % 4 <> 1 AS ok, CASE WHEN event_id % 4 = 1 THEN 'expected_object_member' END AS error, CAST(length(props) - CAST(event_id % 4 = 1 AS INTEGER) + 1 AS INTEGER) AS "column",
+  CAST(ceil((length(props) - CAST(event_id % 4 = 1 AS INTEGER)) / 4.0) AS INTEGER) AS chunks FROM (SELECT event_id, event_id AS user_id, props FROM events)""")
+def stream_check(spark, sf):
+    """A stream of documents in chunks of 4 bytes; every fourth lacks its last brace."""
+    events = spark.readStream.schema("event_id long, props string").parquet(f"{sf}/events*.parquet")
+    text = F.when(F.col("event_id") % 4 == 1, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    pieces = split_chunks(events.withColumn("j", text), "event_id", "j", 4)
+    out = finished(check_stream(pieces, WIDE))
+    return out.select("id", "ok", "error", "column", "chunks")
+
+
 @query("""SELECT n_nationkey, '{ "n_nationkey" ' || n_nationkey || ' "n_name" "' || n_name || '" "n_regionkey" ' || n_regionkey || ' }' AS tokens FROM nation""")
 def render_tokens(spark, sf):
     df = table(spark, sf, "nation")

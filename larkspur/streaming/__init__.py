@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,3 +68,17 @@ def _whole(data: bytes) -> bool:
     except UnicodeDecodeError as e:
         return e.reason != "unexpected end of data"
     return True
+
+
+def finished(stream: DataFrame) -> DataFrame:
+    """Runs a stream over all that is there now, into a Parquet folder that executors share, and reads the folder."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/larkspur-checkpoints"
+    path = f"{base.rstrip('/')}/larkspur-stream/{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
