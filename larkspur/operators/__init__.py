@@ -2,5 +2,6 @@
 
 from larkspur.operators.chunks import json_assemble
 from larkspur.operators.events import accumulate, json_events, json_render, json_tokens
+from larkspur.operators.table import register_json_events
 
-__all__ = ["accumulate", "json_assemble", "json_events", "json_render", "json_tokens"]
+__all__ = ["accumulate", "json_assemble", "json_events", "json_render", "json_tokens", "register_json_events"]

@@ -5,9 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.checker import Handler
-from larkspur.functions import allow_duplicate_keys, json_check, json_equal, json_get, json_keys, json_parse, json_set, json_size, json_text, json_typeof, json_valid
-from larkspur.operators import accumulate, json_assemble, json_events, json_render, json_tokens
+from larkspur.checker import Handler, number_value
+from larkspur.functions import allow_duplicate_keys, format_position, json_check, json_equal, json_get, json_keys, json_number, json_parse, json_set, json_size, json_text, json_typeof, json_valid
+from larkspur.operators import accumulate, json_assemble, json_events, json_render, json_tokens, register_json_events
 from larkspur.policy import Policy
 from larkspur.sources import split_chunks
 from larkspur.streaming import check_stream
@@ -73,6 +73,30 @@ def test_events_render_tokens_accumulate(spark):
     assert got == {0: (True, 123), 1: (False, 1), 2: (None, None)}
 
 
+def test_table_function(spark):
+    register_json_events(spark)
+    frame(spark, '{"a":[1,2.5]}', None, "[1,").createOrReplaceTempView("texts")
+    got = spark.sql("SELECT t.id, e.* FROM texts t, LATERAL json_events(t.j) e ORDER BY 1, 2").collect()
+    want = json_events(spark.table("texts"), "id", "j").orderBy("id", "seq").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(got) == 9
+
+
+@pytest.mark.parametrize("policy", [Policy(), Policy(int_bits=64), Policy(int_bits=16), Policy(float=None), Policy(float="float")])
+def test_number_expression(spark, policy):
+    tokens = ["0", "-0", "1", "-1", "32768", "-32768", "2147483648", "9223372036854775807", "9223372036854775808", "1" * 50, "1.0", "1e2", "1e-20", "1.5", "-2.25", "1e10", "1e39", "1e308", "1e309", "1e-309", "123e99999999", "0e5", "12E+1"]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", json_number("t", policy).alias("n"))
+    for r in df.collect():
+        want = number_value(r.t, policy)
+        got = r.n.i if r.n.kind == "integer" else r.n.f
+        assert (r.n.error is None) == (want is not None) and got == want and (want is None or (r.n.kind == "integer") == isinstance(want, int)), r.t
+    bad = spark.createDataFrame([("01",), ("+1",), ("1.",), (None,)], "t string").select(json_number("t", policy).alias("n")).collect()
+    assert [r.n.error for r in bad] == ["unrecognized_token"] * 3 + [None]
+
+
+def test_format_position(spark):
+    assert frame(spark, "[\n1,]").select(format_position(json_check("j")["pos"]).alias("p")).first().p == "(2:3)"
+
+
 def test_chunks(spark):
     df = frame(spark, '["é\U0001d11e"]', "")
     for size in (1, 2, 3, 100):
