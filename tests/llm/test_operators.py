@@ -12,7 +12,7 @@ from conftest import SMALL, rows_of
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, mixing, quality, sharding, url_filter, warc
-from larkspur.llm._shared import components, fresh_path
+from larkspur.llm._shared import cleanup, components, fresh_path, small, written
 from larkspur.llm._text import ALNUM, SPACED, Words, shingles, texts
 from larkspur.llm.queries import ORACLES, QUERIES
 
@@ -63,6 +63,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_written_tables(spark):
+    df = written(spark.range(10), "ten")
+    assert df.count() == 10 and small(df).count() == 10 and small(df, 5).count() == 10
+    folder = df.inputFiles()[0].removeprefix("file://").split("/ten/")[0]
+    import os
+
+    assert os.path.isdir(folder)
+    cleanup(spark)
+    assert not os.path.isdir(folder)
+
+
 # 1
 
 
@@ -407,7 +418,7 @@ def test_class_prior():
     true = 2500 / len(u)
     x = lambda a: np.pad(a, ((0, 0), (0, 3))).astype(np.float32)
     assert abs(quality.class_prior(x(p), x(u[r.permutation(len(u))])) - true) < 0.08
-    m = quality.train(x(p), x(u))
+    m = quality.train(np.concatenate([x(p), x(u)]), len(p))
     assert (m.score(x(good)) > 0.5).mean() > 0.95 and (m.score(x(bad)) < 0.5).mean() > 0.9
 
 
