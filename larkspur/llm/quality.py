@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm._text import SPACED, U, Words, mix, texts
 
-POSITIVES, UNLABELLED = 4000, 8000
+POSITIVES, UNLABELLED = 2500, 5000
 THRESHOLD = 0.3
 _PAIRS = 1024
 #: Bucket of each byte pair.
@@ -99,21 +99,23 @@ class Model:
         return _sigmoid((x @ self.weights).astype(np.float64) + self.bias)
 
 
-def train(p: np.ndarray, u: np.ndarray, steps: int = 300) -> Model:
-    """Non-negative risk on the features of positives and unlabelled texts."""
-    if not len(p) or not len(u):
+def train(x: np.ndarray, n: int, steps: int = 300) -> Model:
+    """Non-negative risk on features, the first n rows of positives and the others of unlabelled texts."""
+    rest = len(x) - n
+    if not n or not rest:
         return Model(np.zeros(FEATURES, np.float32), 0.0, 0.5)
-    prior, n = class_prior(p, u), len(p)
+    prior = class_prior(x[:n], x[n:])
 
     def gradient(z: np.ndarray) -> np.ndarray:
         s = _sigmoid(z)
         negative = np.logaddexp(0, z[n:]).mean() - prior * np.logaddexp(0, z[:n]).mean()
-        as_negative = np.concatenate([-prior * s[:n] / n, s[n:] / len(u)])
+        as_negative = np.concatenate([-prior * s[:n] / n, s[n:] / rest])
         if negative < 0:
             return -as_negative
-        return as_negative + np.concatenate([prior * (s[:n] - 1) / n, np.zeros(len(u))])
+        as_negative[:n] += prior * (s[:n] - 1) / n
+        return as_negative
 
-    return Model(*_descend(np.concatenate([p, u]), gradient, steps), prior)
+    return Model(*_descend(x, gradient, steps), prior)
 
 
 def fit(docs: DataFrame, trusted: DataFrame, id_: str = "doc_id", text: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
@@ -131,9 +133,13 @@ def fit(docs: DataFrame, trusted: DataFrame, id_: str = "doc_id", text: str = "t
 
     kind = docs.schema[id_].dataType.simpleString()
     sample = docs.select(id_, text).join(F.broadcast(ids), id_).select(id_, "p", "u", text)  # at most positives + unlabelled ids
-    rows = sorted(sample.mapInArrow(compute, f"id {kind}, p int, u int, x binary").collect(), key=lambda r: (r.id, r.x))
-    at = lambda keep: np.stack([np.frombuffer(r.x, np.float16) for r in rows if keep(r)]).astype(np.float32) if any(map(keep, rows)) else np.zeros((0, FEATURES), np.float32)
-    return train(at(lambda r: r.p == 1), at(lambda r: r.u == 0))
+    rows = sample.mapInArrow(compute, f"id {kind}, p int, u int, x binary").toArrow()
+    if not len(rows):
+        return train(np.zeros((0, FEATURES), np.float32), 0)
+    rows = rows.sort_by([("id", "ascending"), ("x", "ascending")])
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(len(rows), FEATURES)
+    p, u = np.flatnonzero(rows["p"].to_numpy() == 1), np.flatnonzero(rows["u"].to_numpy() == 0)
+    return train(x[np.concatenate([p, u])].astype(np.float32), len(p))
 
 
 def scorer(docs: DataFrame, model: Model):
