@@ -3,9 +3,10 @@
 Soft membership: a classifier learned from a labelled table (naive Bayes on hashed words, at most ``LABELLED`` rows)
 gives each text the posteriors of the domains. Projected-gradient least squares then fits the rates r >= least in
 
-    minimise  sum over domains d of (sum over documents i of r_i * tokens_i * p_id - target_d)^2 / target_d
+    minimise  sum over domains d of (sum over documents i of r_i * tokens_i * p_id - target_d)^2 / tokens_d
 
-by steps in the metric of the documents' tokens. A step needs only the domains' totals, which one aggregation gives;
+by steps of length 1 in the metric of the documents' tokens; with tokens_d, the domain's expected tokens at rates of 1,
+as weights no curvature is above 1, and it is 1 in all directions where posteriors are certain. A step needs only the domains' totals, which one aggregation gives;
 a document's rate follows from its posteriors and the steps so far, so no rates are stored between the steps.
 
 All of it is DataFrame expressions; the model (``BUCKETS`` numbers a domain) and the steps are small arrays in the plan.
@@ -28,7 +29,7 @@ BUCKETS = 4096
 LABELLED = 5000
 #: Log-likelihoods are averaged over a text's words and multiplied by this: the softness of the posteriors.
 SHARPNESS = 3.0
-STEPS, TOLERANCE = 60, 1e-5
+STEPS, TOLERANCE = 60, 1e-4
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 #: Of the pipeline's stage, which repeats documents and drops none.
 STAGE_TARGETS = {"de": 0.15, "en": 0.56, "es": 0.13, "fr": 0.16}
@@ -130,14 +131,17 @@ def fit(members: DataFrame, model: Classifier, targets: dict[str, float], least:
     if total is None:
         total = max([sum(now), *(least * x / weight[d] for d, x in zip(domains, now, strict=True))])
     goal = [total * weight[d] for d in domains]
-    length = 1 / max(x / g for x, g in zip(now, goal, strict=True))
+    mass = [max(x, 1e-9 * sum(now)) for x in now]
+    before = None
     for _ in range(steps):
         if mix.steps or least > 1:
             now = totals(mix.rate(F.col("p")))
         off = [(x - g) / g for x, g in zip(now, goal, strict=True)]
-        if max(map(abs, off)) < tolerance:
+        # on target, or as near as the least rate allows
+        if max(map(abs, off)) < tolerance or before and max(abs(x - y) for x, y in zip(off, before, strict=True)) < tolerance:
             break
-        mix.steps.append([length * x for x in off])
+        before = off
+        mix.steps.append([(x - g) / m for x, g, m in zip(now, goal, mass, strict=True)])
     return mix
 
 
@@ -166,7 +170,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents are repeated by their rates, of at least 1: the whole part, and one more by hash for the rest."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found, mix = rates(docs, labelled_sample(docs, labels), STAGE_TARGETS, least=1.0)
-    rated = memberships(docs, "text", mix.classifier).withColumn("_r", mix.rate(F.col("p")))
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    rows = docs.select(F.struct("*").alias("_row"))
+    rated = memberships(rows.withColumn("_t", F.col("_row.text")), "_t", mix.classifier).withColumn("_r", mix.rate(F.col("p")))
+    chance = F.pmod(F.xxhash64("_row.doc_id", "_t"), F.lit(1 << 20)) / float(1 << 20)
     times = (F.floor("_r") + F.when(chance < F.col("_r") - F.floor("_r"), 1).otherwise(0)).cast("int")
-    return rated.withColumn("_k", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return rated.withColumn("_k", F.explode(F.sequence(F.lit(1), times))).select("_row.*")
