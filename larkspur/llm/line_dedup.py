@@ -6,10 +6,11 @@ characters (the shorter of two) must be equal; empty lines always stay.
 
 Deletion-neighbourhood join, with hashed keys:
 
-1. One pass gives each line's hash and coarse keys: the line with one of ``BLOCKS`` blocks left out. One edit lies in
-   one block, so two lines within the bound share the coarse key of that block (a line counts as its own length and as
-   one less, so that lines of neighbouring lengths cut alike).
-2. Only where coarse keys are met by different lines are all variants emitted: the line with each single character of
+1. One pass gives each line's hash, another coarse keys: the line with one of ``COARSE`` blocks left out. One edit lies
+   in one block, so two lines within the bound share the coarse key of that block (a line counts as its own length and
+   as one less, so that lines of neighbouring lengths cut alike). Lines that share no key with another are done; for the
+   others the same is asked with ``FINE`` blocks.
+2. Only where fine keys are met by different lines are all variants emitted: the line with each single character of
    that block left out, and the line itself, as the partner of one that is longer by a character. A variant with the
    place of the left-out character stands for replacements there; without it, for insertions.
 3. Equal variants are joined by taking the earliest line of each key, not by pairs. Keys are few lines wide by nature:
@@ -36,7 +37,7 @@ from larkspur.llm._shared import small, written
 from larkspur.llm._text import U, _power, mix, texts
 
 MIN_CHARS = 20
-BLOCKS = 8
+COARSE, FINE = 4, 16
 #: At most so many removed lines in all are broadcast; beyond it they are shuffled to their documents.
 BROADCAST_LINES = 2_000_000
 
@@ -75,18 +76,18 @@ class Lines:
         inside = np.minimum(i, len(self.chars) - 1)
         return np.where(k < self.count[line], self.chars[inside], self.end[line])
 
-    def coarse(self, line: np.ndarray, length: np.ndarray, block: int) -> np.ndarray:
-        """Key of lines without a block, cut as for the given length."""
-        a, b = block * length // BLOCKS, (block + 1) * length // BLOCKS
+    def coarse(self, line: np.ndarray, length: np.ndarray, block: int, blocks: int) -> np.ndarray:
+        """Key of lines without one of some blocks, cut as for the given length."""
+        a, b = block * length // blocks, (block + 1) * length // blocks
         left = self.part(self.start[line], self.at(line, a))
         right = self.part(self.at(line, self.count[line] - (length - b)), self.end[line])
         with np.errstate(over="ignore"):
-            return mix(mix(left) * U(3) + mix(right ^ U(0x5555)) * U(5) + (length.astype(U) * U(BLOCKS) + U(block)) * U(0x9E3779B97F4A7C15))
+            return mix(mix(left) * U(3) + mix(right ^ U(0x5555)) * U(5) + (length.astype(U) * U(blocks) + U(block)) * U(0x9E3779B97F4A7C15))
 
     def variants(self, i: int, length: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(string's key, place, 1 if a character is left out) of one line, for the edits inside a block."""
+        """(string's key, place, 1 if a character is left out) of one line, for the edits inside one of FINE blocks."""
         n = int(self.count[i])
-        k = np.arange(block * length // BLOCKS, (block + 1) * length // BLOCKS + (n - length))
+        k = np.arange(block * length // FINE, (block + 1) * length // FINE + (n - length))
         line = np.full(len(k), i)
         a, b = self.at(line, k), self.at(line, k + 1)
         with np.errstate(over="ignore"):
@@ -100,7 +101,7 @@ class Lines:
 
 
 def _index(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """Rows (id, no, h, keys): every line that is not empty."""
+    """Rows (id, no, h): every line that is not empty."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,24 +110,49 @@ def _index(docs: DataFrame, id_: str, text: str) -> DataFrame:
                 doc = np.repeat(np.arange(len(off) - 1), np.diff(x.first))
                 no = np.arange(len(doc)) - x.first[doc]
                 some = np.flatnonzero(x.end > x.start)
-                keys, of = [], []
-                for less in (0, 1):
-                    long = np.flatnonzero(x.count >= MIN_CHARS + less)
-                    for block in range(BLOCKS):
-                        keys.append(x.coarse(long, x.count[long] - less, block))
-                        of.append(long)
-                keys, of = np.concatenate(keys), np.concatenate(of)
-                order = np.argsort(of, kind="stable")
-                where = np.searchsorted(of[order], np.append(some, len(doc))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(where), pa.array(keys[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + doc[some])), pa.array(no[some].astype(np.int64)), pa.array(x.hash[some].view(np.int64)), lists], names=["id", "no", "h", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + doc[some])), pa.array(no[some].astype(np.int64)), pa.array(x.hash[some].view(np.int64))], names=["id", "no", "h"])
 
     rows = docs.where(F.col(id_).isNotNull()).select(F.col(id_).cast("long"), text)
-    return rows.mapInArrow(read, "id long, no long, h long, keys array<long>")
+    return rows.mapInArrow(read, "id long, no long, h long")
+
+
+def _keys(docs: DataFrame, id_: str, text: str, blocks: int, want: DataFrame | None = None) -> DataFrame:
+    """Rows (key, h): keys of the lines, with one of some blocks left out. want: (id, h) of the only lines to take."""
+
+    chosen = want is not None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wanted = b.column(2).to_pylist() if chosen else None
+            for row, buf, off in texts(b.column(1)):
+                x = Lines(buf, off)
+                take = np.ones(len(x.hash), dtype=bool)
+                if wanted is not None:
+                    of = [np.isin(x.hash[x.first[d] : x.first[d + 1]].view(np.int64), np.array(wanted[row + d], np.int64)) for d in range(len(off) - 1)]
+                    take = np.concatenate(of)
+                keys, lines = [], []
+                for less in (0, 1):
+                    long = np.flatnonzero((x.count >= MIN_CHARS + less) & take)
+                    for block in range(blocks):
+                        keys.append(x.coarse(long, x.count[long] - less, block, blocks))
+                        lines.append(x.hash[long])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (keys, lines)], names=["key", "h"])
+
+    rows = docs.where(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias(id_), text)
+    if chosen:
+        per = written(want.groupBy(F.col("id").alias(id_)).agg(F.collect_set("h").alias("want")), "wanted")
+        rows = rows.join(small(per), id_).select(id_, text, "want")
+    return rows.mapInArrow(read, "key long, h long")
+
+
+def _met(keys: DataFrame) -> DataFrame:
+    """Rows (key, h) of the keys that different lines have."""
+    met = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
+    return keys.join(small(written(met, "met")), "key")
 
 
 def _emit(docs: DataFrame, id_: str, text: str, want: DataFrame) -> DataFrame:
-    """Rows (h, text, variants) of the wanted lines: want has (id, h, keys), the coarse keys that another line has too."""
+    """Rows (h, text, variants) of the wanted lines: want has (id, h, keys), the fine keys that another line has too."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,7 +174,7 @@ def _emit(docs: DataFrame, id_: str, text: str, want: DataFrame) -> DataFrame:
                             if length < MIN_CHARS:
                                 continue
                             one, n = np.array([i]), np.array([length])
-                            parts += [x.variants(i, length, k) for k in range(BLOCKS) if int(x.coarse(one, n, k)[0]) in keys[h]]
+                            parts += [x.variants(i, length, k) for k in range(FINE) if int(x.coarse(one, n, k, FINE)[0]) in keys[h]]
                         if parts:
                             v, k, one = (np.concatenate(p) for p in zip(*parts, strict=True))
                             with np.errstate(over="ignore"):
@@ -171,14 +197,13 @@ def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> D
     """Rows (id, no): the lines that go."""
     index = written(_index(docs, id_, text), "lines")
     # per distinct line its earliest place; the hash breaks ties between rows of one id
-    lines = index.groupBy("h").agg(F.min(F.struct("id", "no", "h")).alias("at"), F.first("keys").alias("keys"), F.count("*").alias("n"))
-    lines = written(lines, "distinct")
-    keys = lines.select("h", F.explode("keys").alias("key"))
-    met = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
-    near = keys.join(met, "key").groupBy("h").agg(F.collect_list("key").alias("keys"))
-    want = near.join(lines.select("h", "at"), "h").select("at.id", "h", "keys")
+    lines = written(index.groupBy("h").agg(F.min(F.struct("id", "no", "h")).alias("at"), F.count("*").alias("n")), "distinct")
+    some = written(_met(_keys(docs, id_, text, COARSE)).select("h").distinct(), "some")
+    some = written(lines.join(some, "h", "left_semi").select("at.id", "h", "at"), "places")
+    near = _met(written(_keys(docs, id_, text, FINE, some.select("id", "h")), "fine")).groupBy("h").agg(F.collect_set("key").alias("keys"))
+    want = written(near.join(some, "h").select("id", "h", "keys"), "want")
     emitted = written(_emit(docs, id_, text, want), "variants")
-    each = emitted.select("h", F.explode(F.arrays_zip("v", "kind")).alias("x")).select("h", "x.v", "x.kind").join(lines.select("h", "at"), "h")
+    each = emitted.select("h", F.explode(F.arrays_zip("v", "kind")).alias("x")).select("h", "x.v", "x.kind").join(some.select("h", "at"), "h")
     group = Window.partitionBy("v", F.expr("kind > 0"))
     first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("at"))).over(group)
     each = each.withColumn("by", F.when(F.col("kind") == 0, first(0)).when(F.col("kind") == 1, first(2)).otherwise(first(1)))
