@@ -45,6 +45,8 @@ _SLICES = 16
 BLOCK = 400_000
 #: Weight of a long list's length in the choice of how many lists are long.
 MU = 0.01
+#: Near duplicates of the pipeline's stage; the defaults of jaccard_components() are those of op4.
+STAGE_WORDS, STAGE_PERCENT = 5, 80
 
 
 def _counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
@@ -293,7 +295,7 @@ def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest id stays; of repeated rows one."""
-    found = written(jaccard_components(docs), "found")
+    found = written(jaccard_components(docs, words=STAGE_WORDS, percent=STAGE_PERCENT), "found")
     rest = written(found.where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "rest")
     kept = docs.join(small(rest), "doc_id", "left_anti")
     again = found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))

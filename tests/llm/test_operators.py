@@ -203,6 +203,18 @@ def test_jaccard(spark, block):
     assert {(x.id, x.n_shingles, x.component) for x in got.collect()} == brute_components(rows)
 
 
+def test_jaccard_stage_takes_five_words_and_80_percent(spark):
+    rows = []
+    for g in range(12):
+        w = prose(300 + g, 120)
+        rows += [(10 * g, w), *((10 * g + k, w + " " + prose(1000 + 10 * g + k, 10 * k)) for k in (1, 2, 4))]
+    want = {c for _, _, c in brute_components(rows, 5, 80)}
+    assert want != {c for _, _, c in brute_components(rows)}
+    assert {x.doc_id for x in jaccard_join.stage(spark, docs_of(spark, *rows), SMALL).collect()} == want
+    got = jaccard_join.jaccard_components(docs_of(spark, *rows), words=5, percent=80, block=1500)
+    assert {(x.id, x.n_shingles, x.component) for x in got.collect()} == brute_components(rows, 5, 80)
+
+
 def test_jaccard_search_alone():
     r = np.random.RandomState(3)
     pool = [np.unique(r.randint(0, 400, r.randint(5, 60))) for _ in range(40)]
