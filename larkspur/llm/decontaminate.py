@@ -6,23 +6,24 @@ of them, so one necessary shingle, the rarest over all documents, is enough to j
 the document (length bound); there the words are compared one by one.
 
 The items are a stated query set. They are held by every task in blocks of at most ``BLOCK_WORDS`` words; more items
-take more passes over the documents, whose findings are then united per document.
+take more passes over the documents, then written with row numbers, by which the findings are united.
 
 Edge cases: a null or empty text has no words and no hits; items without words occur nowhere; repeated items all count,
-under their own ids (null ids are left out); rows with equal ids are judged separately as long as one block suffices,
-and as one document otherwise; other columns are ignored.
+once for each id (null ids are left out); rows with equal or null ids are judged separately; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm._shared import written
 from larkspur.llm._text import ALNUM, U, Words, texts
 
 #: Words of items held by a task at once; about 100 bytes each.
@@ -179,11 +180,11 @@ def _hits(docs: DataFrame, id_: str, text: str, prefixes: Prefixes) -> DataFrame
                 size -= begin
                 doc = np.searchsorted(w.first, begin, "right") - 1
                 spans = np.searchsorted(doc, np.arange(m + 1)).astype(np.int32)
-                found = np.unique(np.stack([np.searchsorted(w.first, start, "right") - 1, p.windows.item[win]], 1), axis=0)
+                found = np.unique(np.stack([np.searchsorted(w.first, start, "right") - 1, ids[p.windows.item[win]]], 1), axis=0)
                 items = np.searchsorted(found[:, 0], np.arange(m + 1)).astype(np.int32)
                 lists = lambda o, v: pa.ListArray.from_arrays(pa.array(o), pa.array(v.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(row, m), pa.array(w.count.astype(np.int64)), lists(spans, begin - w.first[doc]), lists(spans, size), lists(items, ids[found[:, 1]])],
+                    [b.column(0).slice(row, m), pa.array(w.count.astype(np.int64)), lists(spans, begin - w.first[doc]), lists(spans, size), lists(items, found[:, 1])],
                     names=["id", "n_words", "starts", "sizes", "items"],
                 )
 
@@ -191,7 +192,7 @@ def _hits(docs: DataFrame, id_: str, text: str, prefixes: Prefixes) -> DataFrame
 
 
 def _unite(parts: list[DataFrame]) -> DataFrame:
-    """One row per document from the blocks' rows; overlapping spans are merged."""
+    """One row per key from the blocks' rows; overlapping spans are merged."""
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -207,22 +208,29 @@ def _unite(parts: list[DataFrame]) -> DataFrame:
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows ``(id, n_words, starts, sizes, items)``: spans of words inside windows of items, and the ids of these items."""
-    parts, block, words = [], [], 0
 
-    def close() -> None:
+    def blocks() -> Iterator[list]:
+        block, words = [], 0
+        for r in benchmark.where(F.col(item_id).isNotNull()).select(item_id, item_text).orderBy(item_id, item_text).toLocalIterator():
+            n = len(r[1] or "") // 2 + 1
+            if block and words + n > block_words:
+                yield block
+                block, words = [], 0
+            block.append((r[0], r[1]))
+            words += n
+        yield block
+
+    def hits(rows: DataFrame, key: str, column: str, block: list) -> DataFrame:
         windows = Windows(block, window)
-        parts.append(_hits(docs, id_, text, Prefixes(windows, _count(docs, text, windows) if block else {})))
-
-    for r in benchmark.where(F.col(item_id).isNotNull()).select(item_id, item_text).orderBy(item_id, item_text).toLocalIterator():
-        n = len(r[1] or "") // 2 + 1
-        if block and words + n > block_words:
-            close()
-            block, words = [], 0
-        block.append((r[0], r[1]))
-        words += n
-    if block or not parts:
-        close()
-    return parts[0] if len(parts) == 1 else _unite(parts)
+        return _hits(rows, key, column, Prefixes(windows, _count(rows, column, windows) if block else {}))
+
+    every = blocks()
+    first, second = next(every), next(every, None)
+    if second is None:
+        return hits(docs, id_, text, first)
+    key = F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_).alias("id"))
+    rows = written(docs.select(key.alias("key"), F.col(text).alias("text")), "rows")
+    return _unite([hits(rows, "key", "text", b) for b in chain([first, second], every)]).withColumn("id", F.col("id.id"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, **names) -> DataFrame:

@@ -399,6 +399,17 @@ def test_decontamination(spark, block):
     assert decontaminate.contamination(docs_of(spark, *rows).limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [60, 400_000])
+def test_decontamination_of_repeated_rows_and_items(spark, block):
+    items = [(3, prose(1, 40)), (3, prose(1, 40)), (4, prose(2, 40)), (5, prose(3, 40))]
+    rows = [(1, prose(1, 40)), (1, prose(2, 40) + " " + prose(8, 30)), (1, prose(9, 50)), (None, prose(3, 40)), (None, prose(9, 60)), (None, prose(9, 60)), (2, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.contamination(docs_of(spark, *rows), bench, block_words=block)
+    got = Counter((r.id, r.n_words, r.n_hit, r.n_items, tuple(sorted(r["items"])), r.contaminated) for r in out.collect())
+    want = [(i, *brute_hits(t, items)) for i, t in rows]
+    assert got == Counter((i, n, hit, len(found), tuple(found), hit > 0 and 20 * hit >= n) for i, n, hit, found in want)
+
+
 # 9
 
 
