@@ -413,6 +413,17 @@ def test_decontamination_of_repeated_rows_and_items(spark, block):
 # 9
 
 
+def test_quality_learns_from_all_documents(spark):
+    r = np.random.RandomState(0)
+    docs = spark.createDataFrame([(i,) for i in range(6500)], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas().doc_id.tolist()
+    rows = [(i, prose(i, 25) if k < 5000 else "#=%d " % r.randint(10) * 30) for k, i in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = quality.fit(df, spark.createDataFrame([(i,) for i in docs[:1000]], "doc_id long"))
+    assert abs(model.prior - 5000 / 6500) < 0.1
+    kept = df.where(quality.scorer(df, model)("text") >= quality.THRESHOLD).select("doc_id").toPandas().doc_id
+    assert not set(kept) - set(docs[:5000]) and len(kept) > 4750
+
+
 def test_quality(spark):
     rows = QUERIES["op9_quality_classifier"](spark, SMALL).toPandas().set_index("doc_id")
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in rows.held_out.items())
