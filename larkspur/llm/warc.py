@@ -11,19 +11,22 @@ joined with what follows it in the file. (The writer never lets a version line o
 it.) Continuation records are grouped by origin, ordered by segment number, checked against the total length, and the
 HTTP message is parsed and its chunks joined. Records that fail a check are returned with ``error`` set, not dropped.
 
-Edge cases: a null payload is empty and still a record; a null URL is left out of the header; ids must be unique, rows
-with a null id are written under an id of their own and read back with a null id; empty tables give empty results;
-other columns are ignored.
+A record's id is made of the row's id and a number of the row, so it is its own even where ids are repeated. The table
+is read twice (payloads in common, then the records), so it must give the same rows in the same order each time, as
+stored tables do.
+
+Edge cases: a null payload is empty and still a record; a null URL is left out of the header; rows with one id are rows
+like others, and of equal payloads of the largest id the later row's is the response; a null id is the smallest and is
+read back as null; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,25 +95,37 @@ def records(name: str, uri: str | None, payload: bytes, digest: str, refers: str
 def write(df: DataFrame, path: str, id_: str, url: str, payload: str, revisit_bytes: int = REVISIT_BYTES, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Writes a record for each row of df into the folder path; payload is a string column."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    rows = df.select(F.col(id_).alias("id"), F.col(url).alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload"))
-    # which payloads occur more than once, and their largest id: narrow, and summed before it is shuffled
-    keys = rows.where(F.octet_length("payload") >= revisit_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.count("id").alias("n")).where("n > 1").drop("n")
-    keys = written(keys, "payloads")
+    rows = df.select(F.col(id_).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(url).alias("url"), body.alias("payload"))
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    # which payloads occur more than once, and their last row: narrow, and summed before it is shuffled
+    long = rows.where(F.octet_length("payload") >= revisit_bytes)
+    keys = long.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    keys = written(keys.select("digest", "first"), "payloads")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[bytes] = []
-            for key, uri, data, digest, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                name = f"<urn:record:{key}>" if key is not None else f"<urn:uuid:{uuid.uuid4()}>"
-                again = first is not None and first != key and len(data) >= revisit_bytes
-                out += records(name, uri, data, digest, f"<urn:record:{first}>" if again else None, segment_bytes)
+            for key, row, uri, data, digest, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                again = first is not None and first["row"] != row and len(data) >= revisit_bytes
+                refers = record_name(first["id"], first["row"]) if again else None
+                out += records(record_name(key, row), uri, data, digest, refers, segment_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    rows = rows.join(small(keys), "digest", "left").select("id", "url", "payload", "digest", "first")
+    rows = rows.join(small(keys), "digest", "left").select("id", "row", "url", "payload", "digest", "first")
     lines = rows.mapInArrow(lay, "value binary").select(F.col("value").cast("string"))
     lines.write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
+def record_name(key: object, row: int) -> str:
+    return f"<urn:record:{'' if key is None else key}.{row}>"
+
+
+def key_of(name: Column) -> Column:
+    """The id of the row whose record has this name, as text; null for a null id."""
+    key = F.regexp_extract(name, r"^<urn:record:(.*)\.\d+>$", 1)
+    return F.when(key != "", key)
+
+
 def _fields(head: bytes) -> dict[str, str]:
     pairs = (x.partition(b":") for x in head.split(b"\r\n"))
     return {k.strip().lower().decode(errors="replace"): v.strip().decode(errors="replace") for k, _, v in pairs if k}
@@ -192,13 +207,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, "page_id", "url", "html")
-    number = lambda c: F.regexp_extract(c, r"^<urn:record:(-?\d+)>$", 1).try_cast("long")
-    found = written(read(spark, path).select(number("name").alias("page_id"), "type", number("refers").alias("refers_to"), F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"), "digest", "error"), "records")
+    size, sha1 = F.octet_length("payload").cast("long"), F.sha1("payload")
+    found = written(read(spark, path).select("name", "type", "refers", size.alias("bytes"), sha1.alias("sha1")), "records")
     # a revisit's length is that of the response it names
-    told = found.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("told")).distinct()
-    known = found.where("type = 'response'").join(told, F.col("page_id") == F.col("told"), "left_semi").select(F.col("page_id").alias("refers_to"), F.col("bytes").alias("own_bytes"), F.col("sha1").alias("own_sha1"))
-    out = found.join(small(written(known, "known")), "refers_to", "left")
-    return out.select("page_id", F.coalesce("bytes", "own_bytes").alias("payload_bytes"), F.coalesce("sha1", "own_sha1").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    told = found.where("refers IS NOT NULL").select(F.col("refers").alias("name")).distinct()
+    known = found.where("type = 'response'").join(told, "name", "left_semi").select(F.col("name").alias("refers"), F.col("bytes").alias("b"), F.col("sha1").alias("s"))
+    out = found.join(small(written(known, "known")), "refers", "left")
+    number = lambda c: key_of(F.col(c)).try_cast("long")
+    return out.select(
+        number("name").alias("page_id"),
+        F.coalesce("bytes", "b").alias("payload_bytes"),
+        F.coalesce("sha1", "s").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        number("refers").alias("refers_to"),
+    )
 
 
 OP7_SQL = """
