@@ -9,13 +9,15 @@ and the sample is the (term, t) with the smallest ln a. Two texts agree in a sam
 generalised Jaccard similarity (sum of the lesser weights over sum of the greater). Gamma draws are looked up among
 ``QUANTILES`` quantiles.
 
-All of it is DataFrame expressions. The text that follows each text (in descending order of ids)
-is found by a window over small ranges of ids; the ranges' heads are handed on by a window over ranges, twice, so that
-no window holds more than a small share of the rows.
-
-Edge cases: a null or empty text has one reserved term, so it is like its like and nothing else; rows
-with one id follow each other in the order of their texts; rows without an id come last; a single text follows itself;
-equal texts have equal fingerprints whatever else differs; other columns are ignored.
+All of it is DataFrame expressions. The text that follows each text (in descending order of ids) is found by a window
+over ranges of ids. The ranges begin at rows picked by their hash, about one in ``RANGE_ROWS`` (fewer where that gives
+more than ``RANGES``), so ids may lie as they like, and no range is empty: the text after a range's last one is the head
+of the range below. Only the ranges' bounds, two numbers each, come to the driver.
+
+Edge cases: a null or empty text has one reserved term, so it is like its like and nothing else; ids are integers; rows
+with one id follow each other in the order of their texts' hashes, so any number of them is split as well, only rows
+equal in id and text are one range; rows without an id come last, like the least id; a single text follows itself; equal
+texts have equal fingerprints whatever else differs; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 24
+from larkspur.llm._shared import written
+
+SAMPLES = 48
 _PER_ROW = 4
 QUANTILES = 4096
-_RANGE, _RANGES = 8, 12  # bits: ids in a range, ranges in a group of ranges
+RANGE_ROWS, RANGES = 1024, 1 << 16
 
 
 def _gamma_quantile(p: float) -> float:
@@ -123,39 +127,62 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.lit(float(samples))
 
 
-def _next_lower(ranges: DataFrame) -> DataFrame:
-    """Rows (range, next): the next lower range there is, or the highest for the lowest. ranges: distinct, one column."""
-    group = F.shiftright("range", _RANGES)
-    within = Window.partitionBy("group").orderBy(F.desc("range"))
-    each = ranges.withColumn("group", group).withColumn("next", F.lead("range").over(within))
-    heads = ranges.groupBy(group.alias("group")).agg(F.max("range").alias("head"))
-    over = Window.orderBy(F.desc("group"))  # one row for 2 ** (_RANGE + _RANGES) ids
-    heads = heads.select("group", F.coalesce(F.lead("head").over(over), F.first("head").over(over)).alias("after"))
-    return each.join(heads, "group").select("range", F.coalesce("next", "after").alias("next"))
+_LEAST = -(1 << 63)
+
+
+def _bounds(keys: DataFrame, every: int) -> list[tuple[int, int]]:
+    """The least key, and about one in so many others, in order; at most about RANGES of them."""
+    picked = keys.where(F.pmod(F.xxhash64("key", "version", F.lit(7)), F.lit(every)) == 0).distinct()
+    least = keys.agg(F.min(F.struct("key", "version")).alias("k")).where("k IS NOT NULL").select("k.*")
+    return sorted({(r.key, r.version) for r in picked.unionByName(least).collect()})
+
+
+def _range_of(key: Column, version: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many bounds are at or below (key, version), less 1: a binary search in two constant arrays."""
+    longs = lambda k: F.split(F.lit(",".join(str(b[k]) for b in bounds)), ",").cast("array<bigint>")
+    keys, versions, n = longs(0), longs(1), len(bounds)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+
+    def halve(at: Column, step: Column) -> Column:
+        to = at + step
+        k, v = F.get(keys, to), F.get(versions, to)
+        return F.when((to < n) & ((k < key) | ((k == key) & (v <= version))), to).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), halve)
 
 
-def edited_fingerprints(docs: DataFrame, id_: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_: str = "doc_id", text: str = "text", samples: int = SAMPLES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows ``(id, n_chars, edited_sha256, sig, edited_sig, next_sig)``.
 
     The edited text has its last half replaced by the first characters of the next text in descending order of ids.
-    Texts are shuffled once, by small ranges of ids.
+    Texts are shuffled once, by ranges of ids.
     """
-    key = F.shiftright(F.coalesce(F.col(id_).cast("long"), F.lit(-(1 << 63))), _RANGE)
-    rows = docs.select(F.col(id_).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), key.alias("range"))
-    order = Window.partitionBy("range").orderBy(F.desc_nulls_last("id"), "t")
-    after = _next_lower(docs.select(key.alias("range")).distinct())
-    heads = rows.withColumn("before", F.lag(F.lit(True)).over(order)).where("before IS NULL").select(F.col("range").alias("next"), F.col("t").alias("head"))
-    heads = after.join(heads, "next").select("range", "head", signature(F.col("head"), samples).alias("head_sig"))
+    rows = docs.select(F.col(id_).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = rows.withColumns({"key": F.coalesce("id", F.lit(_LEAST)), "version": F.xxhash64("t")})
+    keys = written(rows.select("key", "version"), "keys")
+    bounds = _bounds(keys, max(range_rows, keys.count() // RANGES, 1)) or [(_LEAST, _LEAST)]
+    range_ = _range_of(F.col("key"), F.col("version"), bounds)
+    rows = rows.withColumn("range", range_)
+    # the first text of each range, for the range above: no more of them than bounds
+    top = keys.groupBy(range_.alias("range")).agg(F.max(F.struct("key", "version")).alias("top")).select("top.*")
+    heads = rows.join(F.broadcast(top), ["key", "version"]).dropDuplicates(["range"])
+    above = F.when(F.col("range") == len(bounds) - 1, 0).otherwise(F.col("range") + 1)
+    heads = written(heads.select(above.alias("range"), F.col("t").alias("head")), "heads")
+    order = Window.partitionBy("range").orderBy(F.desc("key"), F.desc("version"), F.desc("t"))
     both = rows.withColumn("following", F.lead("t").over(order)).join(heads, "range")
-    both = both.withColumn("following", F.coalesce("following", "head")).withColumn("head_sig", F.when(F.lead(F.lit(True)).over(order).isNull(), F.col("head_sig")))
+    both = both.withColumn("following", F.coalesce("following", "head"))
     n = F.length("t")
     half = F.shiftright(n, 1)
-    both = both.withColumn("edited", F.concat(F.substring("t", F.lit(1), n - half), F.substring("following", F.lit(1), half)))
-    both = both.select("range", F.monotonically_increasing_id().alias("row"), "id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "head_sig", "t", "edited")
-    found = signatures(both, ["range", "row", "id", "n_chars", "edited_sha256", "head_sig"], [F.col("t"), F.col("edited")], samples)
+    edited = F.concat(F.substring("t", F.lit(1), n - half), F.substring("following", F.lit(1), half))
+    both = both.withColumn("edited", edited)
+    sha = F.unhex(F.sha2(F.col("edited").cast("binary"), 256))
+    own = [F.monotonically_increasing_id().alias("row"), "id", n.cast("long").alias("n_chars"), sha.alias("sha")]
+    found = signatures(both.select("range", *own, "t", "edited"), ["range", "row", "id", "n_chars", "sha"], [F.col("t"), F.col("edited")], samples)
     line = Window.partitionBy("range").orderBy("row", "which")
-    found = found.withColumns({"edited_sig": F.lead("sig", 1).over(line), "next_sig": F.coalesce(F.lead("sig", 2).over(line), "head_sig")})
-    return found.where("which = 0").drop("which", "range", "row", "head_sig")
+    found = found.withColumns({"edited_sig": F.lead("sig", 1).over(line), "next_sig": F.lead("sig", 2).over(line)}).where("which = 0")
+    found = found.join(heads.select("range", signature(F.col("head"), samples).alias("head_sig")), "range")
+    digest = F.lower(F.hex("sha")).alias("edited_sha256")
+    return found.select("id", "n_chars", digest, "sig", "edited_sig", F.coalesce("next_sig", "head_sig").alias("next_sig"))
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
