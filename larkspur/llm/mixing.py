@@ -6,8 +6,10 @@ gives each text the posteriors of the domains. Projected-gradient least squares
     minimise  sum over domains d of (sum over documents i of r_i * tokens_i * p_id - target_d)^2 / tokens_d
 
 by steps of length 1 in the metric of the documents' tokens; with tokens_d, the domain's expected tokens at rates of 1,
-as weights no curvature is above 1, and it is 1 in all directions where posteriors are certain. A step needs only the domains' totals, which one aggregation gives;
-a document's rate follows from its posteriors and the steps so far, so no rates are stored between the steps.
+as weights no curvature is above 1, and it is 1 in all directions where posteriors are certain. A step needs only the
+domains' totals, which one aggregation gives; a document's rate follows from its posteriors and the steps so far, so no
+rates are stored between the steps. The steps end on target, or where the projected gradient is gone (targets that no
+rates reach), or after ``STEPS``.
 
 All of it is DataFrame expressions; the model (``BUCKETS`` numbers a domain) and the steps are small arrays in the plan.
 
@@ -29,10 +31,8 @@ BUCKETS = 4096
 LABELLED = 5000
 #: Log-likelihoods are averaged over a text's words and multiplied by this: the softness of the posteriors.
 SHARPNESS = 3.0
-STEPS, TOLERANCE = 60, 1e-4
+STEPS, TOLERANCE = 60, 1e-5
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
-#: Of the pipeline's stage, which repeats documents and drops none.
-STAGE_TARGETS = {"de": 0.15, "en": 0.56, "es": 0.13, "fr": 0.16}
 
 
 def _numbers(values) -> Column:
@@ -115,33 +115,47 @@ class Mix:
         return F.aggregate(F.sequence(F.lit(0), F.lit(len(self.steps) - 1)), start, step)
 
 
-def fit(members: DataFrame, model: Classifier, targets: dict[str, float], least: float = 0.0, total: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> Mix:
-    """members: rows (tokens, p). total: tokens wanted in all; None: as many as there are, or as rates of at least ``least`` allow."""
+def fit(
+    members: DataFrame,
+    model: Classifier,
+    targets: dict[str, float],
+    least: float = 0.0,
+    total: float | str | None = None,
+    steps: int = STEPS,
+    tolerance: float = TOLERANCE,
+) -> Mix:
+    """members: rows (tokens, p). total: tokens wanted in all; None: as many as there are, or as rates of at least
+    ``least`` allow; "all": so many that no domain need give up any."""
     mix, domains = Mix(model, [], least), model.domains
     weight = {d: max(targets[d], 1e-9) for d in domains}
     weight = {d: w / sum(weight.values()) for d, w in weight.items()}
+    each = range(len(domains))
 
-    def totals(rate: Column) -> list[float]:
-        row = members.select("tokens", "p", rate.alias("r")).agg(*(F.sum(F.col("r") * F.col("tokens") * F.get("p", F.lit(i))) for i in range(len(domains)))).first()
-        return [float(x or 0) for x in row]
+    def totals(rate: Column, before: Column) -> tuple[list[float], float]:
+        """The domains' expected tokens, and the tokens that rates have moved by since: the projected gradient's size."""
+        rows = members.select("tokens", "p", rate.alias("r"), F.abs(rate - before).alias("moved"))
+        sums = [F.sum(F.col("r") * F.col("tokens") * F.get("p", F.lit(i))) for i in each]
+        row = rows.agg(*sums, F.sum(F.col("tokens") * F.col("moved"))).first()
+        return [float(x or 0) for x in row[:-1]], float(row[-1] or 0)
 
-    now = totals(F.lit(1.0))
+    now, _ = totals(F.lit(1.0), F.lit(1.0))
     if not sum(now):
         return mix
-    if total is None:
-        total = max([sum(now), *(least * x / weight[d] for d, x in zip(domains, now, strict=True))])
+    floor = 1.0 if total == "all" else least
+    if total is None or total == "all":
+        total = max([sum(now), *(floor * x / weight[d] for d, x in zip(domains, now, strict=True))])
     goal = [total * weight[d] for d in domains]
     mass = [max(x, 1e-9 * sum(now)) for x in now]
-    before = None
+    if least > 1:
+        now, _ = totals(mix.rate(F.col("p")), F.lit(1.0))
     for _ in range(steps):
-        if mix.steps or least > 1:
-            now = totals(mix.rate(F.col("p")))
-        off = [(x - g) / g for x, g in zip(now, goal, strict=True)]
-        # on target, or as near as the least rate allows
-        if max(map(abs, off)) < tolerance or before and max(abs(x - y) for x, y in zip(off, before, strict=True)) < tolerance:
+        if max(abs(x - g) / g for x, g in zip(now, goal, strict=True)) < tolerance:
             break
-        before = off
+        before = mix.rate(F.col("p"))
         mix.steps.append([(x - g) / m for x, g, m in zip(now, goal, mass, strict=True)])
+        now, moved = totals(mix.rate(F.col("p")), before)
+        if moved < tolerance * total:
+            break
     return mix
 
 
@@ -167,11 +181,18 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents are repeated by their rates, of at least 1: the whole part, and one more by hash for the rest."""
+    """Pipeline stage: documents are repeated by their rates: the whole part, and one more by hash for the rest.
+
+    The rates are those of op10's targets for as many tokens as let no domain shrink, so texts are repeated rather than
+    dropped; one whose rate ends below 1 (a mixture of domains) is kept once all the same.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found, mix = rates(docs, labelled_sample(docs, labels), STAGE_TARGETS, least=1.0)
-    rows = docs.select(F.struct("*").alias("_row"))
-    rated = memberships(rows.withColumn("_t", F.col("_row.text")), "_t", mix.classifier).withColumn("_r", mix.rate(F.col("p")))
-    chance = F.pmod(F.xxhash64("_row.doc_id", "_t"), F.lit(1 << 20)) / float(1 << 20)
-    times = (F.floor("_r") + F.when(chance < F.col("_r") - F.floor("_r"), 1).otherwise(0)).cast("int")
-    return rated.withColumn("_k", F.explode(F.sequence(F.lit(1), times))).select("_row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    model = classifier(labelled_sample(docs, labels), "text", "lang", sorted(TARGETS))
+    members = memberships(rows, "body", model)
+    mix = fit(written(members.select("tokens", "p"), "memberships"), model, TARGETS, total="all")
+    chance = F.pmod(F.xxhash64("id", "body"), F.lit(1 << 20)) / float(1 << 20)
+    rated = members.withColumn("rate", mix.rate(F.col("p")))
+    more = F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    times = F.greatest(F.lit(1), F.floor("rate") + more).cast("int")
+    return rated.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("row.*")
