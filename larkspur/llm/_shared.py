@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A table of at most so many narrow rows (two longs each) may be broadcast; beyond it a shuffle join is used.
-BROADCAST_ROWS = 1_000_000
+#: A table of at most so many bytes in memory may be broadcast; beyond it a shuffle join is used.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,9 +41,26 @@ def cleanup(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written narrow table for broadcast if its counted rows are within the bound; else leaves it to shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value in a row, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(16) + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            each = F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _width(x, kind.elementType))
+        else:
+            each = 8 * F.size(value)
+        return F.lit(24) + F.coalesce(F.greatest(each, F.lit(0)), F.lit(0))
+    return F.lit(8)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a written table for broadcast if its rows, measured in bytes, are within the bound; else leaves it to shuffle."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16))
+    total = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Vectorised word splitting and hashing over Arrow text columns (no Spark here).
 
-Words are maximal runs of bytes of a class in the UTF-8 text, A-Z lower-cased. A word's hash is a polynomial over its
-bytes modulo 2**64, mixed; sequences of words are hashed from the words' hashes and their number.
+Words are maximal runs of bytes of a class in the UTF-8 text, A-Z lower-cased. A word's hash takes in eight bytes at a
+time, each time mixed by a permutation of the 64 bits; words of more than ``LONG`` bytes are hashed by BLAKE2. Sequences
+of words are hashed from the words' hashes and their number.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,22 +44,53 @@ def _lower(b: int) -> int:
     return b + 32 if 0x41 <= b <= 0x5A else b
 
 
+#: Longest word that is hashed eight bytes at a time.
+LONG = 64
+_LOWER = np.array([_lower(b) for b in range(256)], dtype=np.uint8)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U)
+
 with np.errstate(over="ignore"):
-    _BYTE = mix(np.array([_lower(b) + 1 for b in range(256)], dtype=U) * U(0x9E3779B97F4A7C15))
     _STEP = mix((np.arange(64, dtype=U) + U(77)) * U(0x9E3779B97F4A7C15)) | U(1)
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_powers = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        for k, p in enumerate((_P, _PINV)):
-            a = np.full(size, p, dtype=U)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers[0][:n], _powers[1][:n]
+def padded(buf: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A copy of buf that eights() can read up to its end."""
+    out = np.zeros(len(buf) + 8, np.uint8)
+    out[: len(buf)] = _LOWER[buf] if lower else buf
+    return out
+
+
+def eights(pad: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; bytes beyond the number left count as 0."""
+    every = np.lib.stride_tricks.sliding_window_view(pad, 8)
+    return every[at].view("<u8")[:, 0] & _MASK[np.minimum(left, 8)]
+
+
+def hashes(pad: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes."""
+    size = end - start
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(U) * U(0x9E3779B97F4A7C15) + U(0x632BE59BD9B4E019))
+        live, k = np.flatnonzero((size > 0) & (size <= LONG)), 0
+        while len(live):
+            out[live] = mix((out[live] ^ eights(pad, start[live] + k, size[live] - k)) * U(0xD6E8FEB86659FD93))
+            k += 8
+            live = live[size[live] > k]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(pad[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def equal_ranges(a: np.ndarray, at: np.ndarray, b: np.ndarray, of: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which ranges of two padded buffers, of the same sizes, hold the same bytes."""
+    same, live, k = np.ones(len(size), dtype=bool), np.flatnonzero(size > 0), 0
+    while len(live):
+        ok = eights(a, at[live] + k, size[live] - k) == eights(b, of[live] + k, size[live] - k)
+        same[live[~ok]] = False
+        k += 8
+        live = live[ok]
+        live = live[size[live] > k]
+    return same
 
 
 class Words:
@@ -78,11 +111,9 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
-        up, down = _power(n + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, dtype=U)
-            np.cumsum(_BYTE[buf] * up[:n], out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+        #: the texts in lower case, for eights()
+        self.pad = padded(buf, lower=True)
+        self.hash = hashes(self.pad, self.start, self.end)
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)

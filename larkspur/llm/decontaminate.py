@@ -3,13 +3,14 @@
 A prefix-filtered set join. Every window is a set of short shingles. To contain the window a document must contain all
 of them, so one necessary shingle, the rarest over all documents, is enough to join on (the prefix for a containment of
 1 has length 1). A joined shingle gives the window's place in the document (positional bound), which must lie inside
-the document (length bound); there the words are compared one by one.
+the document (length bound); there the words are compared one by one, by their hashes and then by their bytes.
 
 The items are a stated query set. They are held by every task in blocks of at most ``BLOCK_WORDS`` words; more items
 take more passes over the documents, then written with row numbers, by which the findings are united.
 
 Edge cases: a null or empty text has no words and no hits; items without words occur nowhere; repeated items all count,
-once for each id (null ids are left out); rows with equal or null ids are judged separately; other columns are ignored.
+once for each id (null ids are left out); item ids may be of any plain type; rows with equal or null ids are judged
+separately, by the stage too; other columns are ignored, and the stage returns them as they are whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from larkspur.llm._shared import written
-from larkspur.llm._text import ALNUM, U, Words, texts
+from larkspur.llm._text import ALNUM, U, Words, equal_ranges, grams, padded, texts
 
 #: Words of items held by a task at once; about 100 bytes each.
 BLOCK_WORDS = 400_000
@@ -51,29 +54,38 @@ class _Keys:
 
 
 class Windows:
-    """The windows of some items: ``size`` words from ``base`` on in ``hash``, of the item ``item``."""
+    """The windows of some items: ``size`` words from ``base`` on in ``hash``, of the item ``ids[item]``.
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        column = pa.array([t or "" for _, t in items], pa.string())
-        self.ids = [i for i, _ in items]
+    ``start`` and ``end`` are the words' places in ``pad``, which holds the items' texts in lower case.
+    """
+
+    def __init__(self, items: list[tuple[object, str]], window: int):
+        column = pa.array([t or "" for _, t in items], pa.large_string())
+        self.ids = sorted({i for i, _ in items})
+        place = {i: k for k, i in enumerate(self.ids)}
+        of = np.array([place[i] for i, _ in items], np.int64)
         hashes, base, size, item, at = [], [], [], [], 0
+        start, end, pads, bytes_ = [], [], [], 0
         for row, buf, off in texts(column):
             w = Words(buf, off, ALNUM)
             hashes.append(w.hash)
+            start.append(w.start + bytes_)
+            end.append(w.end + bytes_)
+            pads.append(w.pad[: len(buf)])
+            bytes_ += len(buf)
             for d, n in enumerate(w.count):
                 if n:
                     k = max(1, n - window + 1)
                     base.append(at + w.first[d] + np.arange(k))
                     size.append(np.full(k, min(n, window)))
-                    item.append(np.full(k, row + d))
+                    item.append(np.full(k, of[row + d]))
             at += len(w.hash)
-        cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
-        self.hash, self.base, self.size, self.item = cat(hashes, U), cat(base, np.int64), cat(size, np.int64), cat(item, np.int64)
+        cat = lambda xs, t=np.int64: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
+        self.hash, self.base, self.size, self.item = cat(hashes, U), cat(base), cat(size), cat(item)
+        self.start, self.end, self.pad = cat(start), cat(end), padded(cat(pads, np.uint8))
 
     def shingles(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By shingle length: (hash, window, offset in the window) of every shingle."""
-        from larkspur.llm._text import grams
-
         out = {}
         length = np.minimum(self.size, SHINGLE)
         for s in np.unique(length):
@@ -119,7 +131,11 @@ class Prefixes:
             for j in range(int(W.size[win].max()) if len(win) else 0):
                 live = W.size[win] > j
                 same = np.ones(len(win), dtype=bool)
-                same[live] = w.hash[start[live] + j] == W.hash[W.base[win[live]] + j]
+                mine, theirs = start[live] + j, W.base[win[live]] + j
+                size = w.end[mine] - w.start[mine]
+                ok = (w.hash[mine] == W.hash[theirs]) & (size == W.end[theirs] - W.start[theirs])
+                ok[ok] = equal_ranges(w.pad, w.start[mine[ok]], W.pad, W.start[theirs[ok]], size[ok])
+                same[live] = ok
                 start, win = start[same], win[same]
             starts.append(start)
             windows.append(win)
@@ -151,25 +167,30 @@ def _count(docs: DataFrame, text: str, windows: Windows) -> dict[int, dict[int,
     return out
 
 
-_SPANS = "n_words long, starts array<long>, sizes array<long>, items array<long>"
+def _schema(docs: DataFrame, id_: str, benchmark: DataFrame, item_id: str) -> T.StructType:
+    longs = T.ArrayType(T.LongType())
+    items = T.ArrayType(benchmark.schema[item_id].dataType)
+    kinds = {"n_words": T.LongType(), "starts": longs, "sizes": longs, "items": items, "longest": T.LongType()}
+    fields = [T.StructField("id", docs.schema[id_].dataType)]
+    return T.StructType(fields + [T.StructField(n, k) for n, k in kinds.items()])
 
 
-def _hits(docs: DataFrame, id_: str, text: str, prefixes: Prefixes) -> DataFrame:
-    """Per document its words and, merged, the spans of words inside windows, and the items found."""
+def _hits(docs: DataFrame, id_: str, text: str, prefixes: Prefixes, schema: T.StructType) -> DataFrame:
+    """Per document its words and, merged, the spans of words inside windows, the items found and the longest window."""
     held = docs.sparkSession.sparkContext.broadcast(prefixes)
-    kind = docs.schema[id_].dataType.simpleString()
+    item_type = to_arrow_type(schema["items"].dataType.elementType)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
-        ids = np.array(p.windows.ids, dtype=np.int64)
+        ids = pa.array(p.windows.ids, item_type)
         for b in batches:
             for row, buf, off in texts(b.column(1)):
                 w = Words(buf, off, ALNUM)
                 start, win = p.match(w)
-                m, n = len(w.count), len(w.hash)
+                m, n, size_of = len(w.count), len(w.hash), p.windows.size[win]
                 edge = np.zeros(n + 1, dtype=np.int64)
                 np.add.at(edge, start, 1)
-                np.add.at(edge, start + p.windows.size[win], -1)
+                np.add.at(edge, start + size_of, -1)
                 hit = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
                 begin, cut = hit[1:-1] & ~hit[:-2], hit[1:-1] & ~hit[2:]
                 inner = w.first[1:-1]
@@ -180,15 +201,23 @@ def _hits(docs: DataFrame, id_: str, text: str, prefixes: Prefixes) -> DataFrame
                 size -= begin
                 doc = np.searchsorted(w.first, begin, "right") - 1
                 spans = np.searchsorted(doc, np.arange(m + 1)).astype(np.int32)
-                found = np.unique(np.stack([np.searchsorted(w.first, start, "right") - 1, ids[p.windows.item[win]]], 1), axis=0)
+                of = np.searchsorted(w.first, start, "right") - 1
+                longest = np.zeros(m, dtype=np.int64)
+                np.maximum.at(longest, of, size_of)
+                found = np.unique(np.stack([of, p.windows.item[win]], 1), axis=0)
                 items = np.searchsorted(found[:, 0], np.arange(m + 1)).astype(np.int32)
-                lists = lambda o, v: pa.ListArray.from_arrays(pa.array(o), pa.array(v.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(row, m), pa.array(w.count.astype(np.int64)), lists(spans, begin - w.first[doc]), lists(spans, size), lists(items, found[:, 1])],
-                    names=["id", "n_words", "starts", "sizes", "items"],
-                )
+                lists = lambda o, v: pa.ListArray.from_arrays(pa.array(o), v)
+                columns = [
+                    b.column(0).slice(row, m),
+                    pa.array(w.count.astype(np.int64)),
+                    lists(spans, pa.array(begin - w.first[doc])),
+                    lists(spans, pa.array(size)),
+                    lists(items, ids.take(pa.array(found[:, 1]))),
+                    pa.array(longest),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(id_, text).mapInArrow(find, f"id {kind}, {_SPANS}")
+    return docs.select(id_, text).mapInArrow(find, schema)
 
 
 def _unite(parts: list[DataFrame]) -> DataFrame:
@@ -196,22 +225,47 @@ def _unite(parts: list[DataFrame]) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    every = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("starts", "sizes"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    merged = F.aggregate(
-        F.array_sort("s"),
-        F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["starts"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["starts"] + x["sizes"]).alias("b"))))).otherwise(F.concat(acc, F.array(F.struct(x["starts"].alias("a"), (x["starts"] + x["sizes"]).alias("b"))))),
+    spans = F.flatten(F.collect_list(F.arrays_zip("starts", "sizes")))
+    every = every.groupBy("id").agg(
+        F.max("n_words").alias("n_words"),
+        spans.alias("s"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        F.max("longest").alias("longest"),
     )
-    every = every.withColumn("m", merged)
-    return every.select("id", "n_words", F.col("m.a").alias("starts"), F.transform("m", lambda x: x["b"] - x["a"]).alias("sizes"), "items")
-
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows ``(id, n_words, starts, sizes, items)``: spans of words inside windows of items, and the ids of these items."""
+    def merge(done, span):
+        last, end = F.element_at(done, -1), span["starts"] + span["sizes"]
+        joined = F.struct(last["a"].alias("a"), F.greatest(last["b"], end).alias("b"))
+        touches = (F.size(done) > 0) & (last["b"] >= span["starts"])
+        fresh = F.concat(done, F.array(F.struct(span["starts"].alias("a"), end.alias("b"))))
+        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(fresh)
+
+    none = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
+    every = every.withColumn("m", F.aggregate(F.array_sort("s"), none, merge))
+    sizes = F.transform("m", lambda x: x["b"] - x["a"])
+    return every.select("id", "n_words", F.col("m.a").alias("starts"), sizes.alias("sizes"), "items", "longest")
+
+
+def benchmark_hits(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = 13,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """Rows ``(id, n_words, starts, sizes, items, longest)``, one for each row of docs.
+
+    starts and sizes are the spans of words inside windows of items, items the ids of these items, longest the words of
+    the longest window found (0: none).
+    """
 
     def blocks() -> Iterator[list]:
         block, words = [], 0
-        for r in benchmark.where(F.col(item_id).isNotNull()).select(item_id, item_text).orderBy(item_id, item_text).toLocalIterator():
+        rows = benchmark.where(F.col(item_id).isNotNull()).select(item_id, item_text).orderBy(item_id, item_text)
+        for r in rows.toLocalIterator():
             n = len(r[1] or "") // 2 + 1
             if block and words + n > block_words:
                 yield block
@@ -222,34 +276,49 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", t
 
     def hits(rows: DataFrame, key: str, column: str, block: list) -> DataFrame:
         windows = Windows(block, window)
-        return _hits(rows, key, column, Prefixes(windows, _count(rows, column, windows) if block else {}))
+        seen = _count(rows, column, windows) if block else {}
+        return _hits(rows, key, column, Prefixes(windows, seen), _schema(rows, key, benchmark, item_id))
 
     every = blocks()
     first, second = next(every), next(every, None)
     if second is None:
         return hits(docs, id_, text, first)
-    key = F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_).alias("id"))
-    rows = written(docs.select(key.alias("key"), F.col(text).alias("text")), "rows")
-    return _unite([hits(rows, "key", "text", b) for b in chain([first, second], every)]).withColumn("id", F.col("id.id"))
+    own = F.monotonically_increasing_id().alias("row")
+    rows = written(docs.select(own, F.col(id_).alias("id"), F.col(text).alias("text")), "rows")
+    found = _unite([hits(rows, "row", "text", b) for b in chain([first, second], every)])
+    return rows.select("row", "id").join(found.withColumnRenamed("id", "row"), "row").drop("row")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, **names) -> DataFrame:
     """benchmark_hits() with ``n_hit``, ``n_items`` and ``contaminated``: hit, and at least one word in ``share`` is."""
     hits = benchmark_hits(docs, benchmark, **names)
-    n_hit = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    return hits.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    hits = hits.withColumn("n_hit", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))
+    much = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+    return hits.withColumns({"n_items": F.size("items").cast("long"), "contaminated": much})
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
-    out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    out = contamination(docs, bench)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), "contaminated")
+    items = F.sha2(names, 256).alias("items_sha256")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", items, "contaminated")
+
+
+#: Words of a window that make a document contaminated for the stage, however long the document is.
+STAGE_WINDOW = 13
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go."""
-    bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """Pipeline stage: documents go that hold a whole window of ``STAGE_WINDOW`` words, or are contaminated by their share.
+
+    Windows of shorter items are plain phrases that clean documents hold too, so these count by their share alone. Rows
+    are judged one by one, and pass through whole.
+    """
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.withColumn("body", F.col("row.text"))
+    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_="row", text="body")
+    return found.where(~F.col("contaminated") & (F.col("longest") < STAGE_WINDOW)).select("id.*")
 
 
 OP8_SQL = r"""

@@ -8,7 +8,8 @@ How the work is dealt out, all of it without loss:
 
 1. One pass counts shingles over all documents in a table of fixed size, by hash. It only orders shingles, rarest first.
 2. A second pass keeps of each document the size and a hash of its set, and the rarest shingles: so many that two
-   linked documents must share ``need`` of them. Equal sets become one class, named by its smallest id.
+   linked documents must share ``need`` of them. Equal sets become one class, which has a number of its own and knows
+   its smallest id.
 3. Classes with fewer than ``need`` of these shingles in common with any others link with nothing. The rest are looked
    at by layers of size, so wide that linked sets share a layer; each set is in two. There the same is asked again,
    twice, and the rest are tied to the smallest class of each shared list (one row per list entry, no pairs), and so
@@ -22,7 +23,8 @@ No list, group of copies or component is ever held by one task as a whole. The w
 a candidate component's size divided by the block size: components of near copies that differ in text are the costly case.
 
 Edge cases: a null or empty text has an empty set and links with nothing; a text of fewer words has its whole sequence
-as its only shingle; each of several rows with one id is judged by its own text; a row without an id has no component.
+as its only shingle; each of several rows with one id is judged by its own text, so these may have different components
+(or, not linked, both the one named by their id); a row without an id has no component; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +47,6 @@ _SLICES = 16
 BLOCK = 400_000
 #: Weight of a long list's length in the choice of how many lists are long.
 MU = 0.01
-#: Near duplicates of the pipeline's stage; the defaults of jaccard_components() are those of op4.
-STAGE_WORDS, STAGE_PERCENT = 5, 80
 
 
 def _counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
@@ -111,13 +111,28 @@ class Bound:
 _SIGNATURE = "n long, k1 long, k2 long, prefix array<long>"
 
 
+def _set_keys(g: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each text's set of shingles."""
+    with np.errstate(over="ignore"):
+        keys = []
+        for salt in (U(0x243F6A8885A308D3), U(0x13198A2E03707344)):
+            total = np.concatenate([np.zeros(1, U), np.cumsum(mix(g ^ salt))])
+            keys.append(mix(total[first[1:]] - total[first[:-1]]).view(np.int64))
+    return keys
+
+
+def _rows(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, version, text): version tells rows with one id and different texts apart."""
+    return docs.select(F.col(id_).cast("long").alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
+
+
 def _signatures(docs: DataFrame, id_: str, text: str, words: int, bound: Bound, counts: np.ndarray) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(U))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = held.value
         for b in batches:
-            for row, buf, off in texts(b.column(1)):
+            for row, buf, off in texts(b.column(2)):
                 g, first = shingles(Words(buf, off, SPACED), words)
                 n = np.diff(first)
                 d = np.repeat(np.arange(len(n)), n)
@@ -126,25 +141,26 @@ def _signatures(docs: DataFrame, id_: str, text: str, words: int, bound: Bound,
                 p = bound.prefix(n)
                 rank = np.arange(len(g)) - np.repeat(first[:-1], n)
                 prefix = g[order][rank < np.repeat(p, n)]
-                with np.errstate(over="ignore"):
-                    keys = []
-                    for salt in (U(0x243F6A8885A308D3), U(0x13198A2E03707344)):
-                        total = np.concatenate([np.zeros(1, U), np.cumsum(mix(g ^ salt))])
-                        keys.append(mix(total[first[1:]] - total[first[:-1]]).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(prefix.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(n)), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists], names=["id", "n", "k1", "k2", "prefix"])
+                where = np.concatenate([[0], np.cumsum(p)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(where), pa.array(prefix.view(np.int64)))
+                own = [b.column(k).slice(row, len(n)) for k in (0, 1)]
+                keys = [pa.array(k) for k in _set_keys(g, first)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), *keys, lists], names=["id", "version", "n", "k1", "k2", "prefix"])
 
-    return docs.select(F.col(id_).cast("long").alias(id_), text).mapInArrow(sign, f"id long, {_SIGNATURE}")
+    return _rows(docs, id_, text).mapInArrow(sign, f"id long, version long, {_SIGNATURE}")
 
 
-def _sets(docs: DataFrame, id_: str, text: str, words: int) -> DataFrame:
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    """(k1, k2, tokens) of rows (id, version, text)."""
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, buf, off in texts(b.column(1)):
+            for _, buf, off in texts(b.column(0)):
                 g, first = shingles(Words(buf, off, SPACED), words)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(first) - 1), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(g.view(np.int64)))], names=["id", "tokens"])
+                tokens = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(g.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _set_keys(g, first)), tokens], names=["k1", "k2", "tokens"])
 
-    return docs.select(F.col(id_).cast("long").alias(id_), text).mapInArrow(compute, "id long, tokens array<long>")
+    return rows.select("text").mapInArrow(compute, "k1 long, k2 long, tokens array<long>")
 
 
 class Search:
@@ -244,14 +260,18 @@ def _find(bound: Bound):
     return find
 
 
-def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
-    """Rows ``(id, n_shingles, component)``, one for each row of docs; ids are integers."""
+def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """Rows ``(id, version, n_shingles, group, component)``, one for each row of docs; ids are integers.
+
+    version is the text's hash, group a number of the component, component its smallest id.
+    """
     bound = Bound(percent)
     signs = written(_signatures(docs, id_, text, words, bound, _counts(docs, text, words)), "signatures")
     sets = signs.where("n > 0 AND id IS NOT NULL")
-    classes = written(sets.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
-    reps = small(classes.select(F.col("rep").alias("id")).distinct())
-    posts = sets.join(reps, "id", "left_semi").select("id", "n", F.explode("prefix").alias("token"))
+    # one row for each set; copies are summed up before they are shuffled
+    classes = sets.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    posts = classes.select(F.col("class").alias("id"), "n", F.explode("prefix").alias("token"))
     shared = posts.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("token")
     hits = written(posts.join(shared, "token"), "hits")
     enough = F.count("*") >= bound.need(F.min("n"))
@@ -272,7 +292,11 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     total = near.agg(F.sum("n")).first()[0] or 0
     buckets = int(total // block) + 1
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    held = _sets(docs.join(small(near.select(F.col("id").alias(id_)).distinct()), id_, "left_semi"), id_, text, words)
+    chosen = classes.join(small(near.select(F.col("id").alias("class")).distinct()), "class", "left_semi")
+    chosen = written(chosen.select("id", "k1", "k2", "class"), "chosen")
+    # of several rows with one id all come along; two rows of one class do no harm in a group
+    held = _sets(_rows(docs, id_, text).join(small(chosen.select("id").distinct()), "id", "left_semi"), words)
+    held = held.join(chosen.select("k1", "k2", F.col("class").alias("id")), ["k1", "k2"])
     dealt = (
         held.join(near.drop("n"), "id")
         .withColumn("side", own)
@@ -282,28 +306,44 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
         .withColumn("y", F.greatest("side", "other"))
     )
     links = written(dealt.select("id", "tokens", "side", "bucket", "x", "y").groupBy("bucket", "x", "y").applyInArrow(_find(bound), "a long, b long"), "links")
-    found = written(components(links), "components")
-    out = signs.join(classes, ["k1", "k2"], "left").join(small(found.select(F.col("id").alias("rep"), "component")), "rep", "left")
-    alone = F.when(F.col("n") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), alone).alias("component"))
+    found = components(links).withColumnRenamed("id", "class").join(classes.select("class", "id"), "class")
+    first = found.groupBy("component").agg(F.min("id").alias("first"))
+    found = written(found.join(first, "component").select("class", "component", "first"), "components")
+    named = classes.drop("prefix", "n").join(small(found), "class", "left")
+    named = named.select("k1", "k2", F.coalesce("component", "class").alias("group"), F.coalesce("first", "id").alias("named"))
+    out = signs.drop("prefix").join(named, ["k1", "k2"], "left")
+    some = F.col("n") > 0
+    name = F.when(F.col("id").isNotNull(), F.when(some, F.col("named")).otherwise(F.col("id")))
+    return out.select("id", "version", F.col("n").alias("n_shingles"), F.when(some, F.col("group")).alias("group"), name.alias("component"))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    out = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=90)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays; of repeated rows one."""
-    found = written(jaccard_components(docs, words=STAGE_WORDS, percent=STAGE_PERCENT), "found")
-    rest = written(found.where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "rest")
-    kept = docs.join(small(rest), "doc_id", "left_anti")
-    again = found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))
-    if again.isEmpty():
-        return kept
-    again = written(again, "again")
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once)
+    """Pipeline stage: of each group of near duplicates (five words, 80 percent) the text with the smallest id stays.
+
+    Rows are told apart by id and text: of rows with one id those with different texts that are not near duplicates all
+    stay, of near duplicates under one id the one whose text has the smaller hash, and of rows equal in both one. Rows
+    without an id stay.
+    """
+    found = written(jaccard_components(docs), "found").where("id IS NOT NULL")
+    key = ["id", "version"]
+    first = found.where("id = component")
+    several = first.groupBy("id").agg(F.min("version").alias("a"), F.max("version").alias("b")).where("a < b").select("id")
+    mine = written(first.join(several, "id", "left_semi").where("group IS NOT NULL").select(*key, "group").distinct(), "several")
+    later = mine.join(mine.groupBy("id", "group").agg(F.min("version").alias("first")), ["id", "group"]).where("version <> first")
+    rest = found.where("id <> component").select(*key).unionByName(later.select(*key))
+    rest = written(rest.distinct(), "rest")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("version"))
+    kept = rows.join(small(rest), key, "left_anti")
+    again = written(found.groupBy(*key).count().where("count > 1").select(*key), "again")
+    if not again.isEmpty():
+        once = kept.join(again, key, "left_semi").dropDuplicates(key)
+        kept = kept.join(again, key, "left_anti").unionByName(once)
+    return kept.select("row.*")
 
 
 OP4_SQL = r"""

@@ -1,15 +1,16 @@
 """Line dedup: of lines that are equal or within one edit of each other, the earliest stays.
 
-Order: document id, then line number. A line goes if an equal line, or one within an edit distance of 1 (a character
-put in, left out or replaced), comes earlier, whether or not that one stays. Lines of fewer than ``MIN_CHARS``
-characters (the shorter of two) must be equal; empty lines always stay.
+Order: document id, the text's hash (for rows with one id), line number. A line goes if an equal line, or one within an
+edit distance of 1 (a character put in, left out or replaced), comes earlier, whether or not that one stays. Lines of
+fewer than ``min_chars`` characters (the shorter of two) must be equal, as one edit is much of a short line: "1." and "2."
+are no copies. With 0 all lines are compared. Empty lines always stay.
 
 Deletion-neighbourhood join, with hashed keys:
 
-1. One pass gives each line's hash, another coarse keys: the line with one of ``COARSE`` blocks left out. One edit lies
-   in one block, so two lines within the bound share the coarse key of that block (a line counts as its own length and
-   as one less, so that lines of neighbouring lengths cut alike). Lines that share no key with another are done; for the
-   others the same is asked with ``FINE`` blocks.
+1. One pass gives each line's hash (128 bits of BLAKE2, which stand for the line), another coarse keys: the line with
+   one of ``COARSE`` blocks left out. One edit lies in one block, so two lines within the bound share the coarse key of
+   that block (a line counts as its own length and as one less, so that lines of neighbouring lengths cut alike). Lines
+   that share no key with another are done; for the others the same is asked with ``FINE`` blocks.
 2. Only where fine keys are met by different lines are all variants emitted: the line with each single character of
    that block left out, and the line itself, as the partner of one that is longer by a character. A variant with the
    place of the left-out character stands for replacements there; without it, for insertions.
@@ -19,13 +20,17 @@ Deletion-neighbourhood join, with hashed keys:
 
 Counts of equal lines are summed before they are shuffled, so a line that a third of the documents share is no burden.
 
+Hashes of parts of lines are polynomials modulo the prime 2**61 - 1. They only find candidates, which are verified.
+
 Edge cases: a null or empty text is one empty line; documents without an id keep all their lines and take none from
-others; of rows with one id the lines are told apart by their hashes too; very long lines are handled whole; columns
-other than id and text are ignored.
+others; rows with one id and different texts are told apart; rows equal in id and text are one document, whose lines all
+of them keep or lose; very long lines are handled whole; other columns are kept, whatever their names, but columns
+``n_lines`` and ``n_kept`` are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,15 +39,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm._shared import small, written
-from larkspur.llm._text import U, _power, mix, texts
+from larkspur.llm._text import CHUNK, U, mix, texts
 
 MIN_CHARS = 20
 COARSE, FINE = 4, 16
-#: At most so many removed lines in all are broadcast; beyond it they are shuffled to their documents.
-BROADCAST_LINES = 2_000_000
 
-with np.errstate(over="ignore"):
-    _BYTE = mix((np.arange(256, dtype=U) + U(0x51ED)) * U(0x9E3779B97F4A7C15))
+# polynomials modulo a prime
+
+_P = (1 << 61) - 1
+_PRIME, _LOW = U(_P), U(0xFFFFFFFF)
+_BASE = 0x0F3C9A6B5D2E7181
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> U(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2**32, below 2**62, for x below 2**61."""
+    return (x >> U(29)) + ((x & U((1 << 29) - 1)) << U(32))
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for numbers below it."""
+    ah, al, bh, bl = a >> U(32), a & _LOW, b >> U(32), b & _LOW
+    with np.errstate(over="ignore"):
+        low = al * bl
+        return _mod(_shifted(_mod(al * bh + ah * bl)) + (((ah * bh) << U(3)) + (low & _PRIME) + (low >> U(61))))
+
+
+def _run(base: int, n: int) -> np.ndarray:
+    """The powers 0, 1, ... of base."""
+    out = np.ones(1, dtype=U)
+    while len(out) < n:
+        out = np.concatenate([out, _times(out, np.full(len(out), pow(base, len(out), _P), dtype=U))])
+    return out[:n]
+
+
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, CHUNK + 1)
+        _powers[:] = [_run(b, size) for b in (_BASE, pow(_BASE, -1, _P))]
+    return _powers[0][:n], _powers[1][:n]
+
+
+def _totals(buf: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Sums of (byte + 1) * power up to each place, modulo the prime."""
+    byte = buf.astype(U) + U(1)
+    each = _shifted(byte * (up >> U(32))) + byte * (up & _LOW)
+    out = np.zeros(len(buf) + 1, dtype=U)
+    out[1:] = _mod(_shifted(_mod(np.cumsum(each >> U(32)))) + _mod(np.cumsum(each & _LOW)))
+    return out
 
 
 class Lines:
@@ -56,19 +107,23 @@ class Lines:
         self.end = np.sort(np.concatenate([off[1:], breaks]), kind="stable")
         per = np.searchsorted(breaks, off[1:]) - np.searchsorted(breaks, off[:-1]) + 1
         self.first = np.concatenate([[0], np.cumsum(per)])
-        up, self.down = _power(n + 1)
-        with np.errstate(over="ignore"):
-            self.total = np.zeros(n + 1, dtype=U)
-            np.cumsum(_BYTE[buf] * up[:n], out=self.total[1:])
+        self._total = self._down = None
         self.chars = np.flatnonzero((buf & 0xC0) != 0x80)
         self.base = np.searchsorted(self.chars, self.start)
         self.count = np.searchsorted(self.chars, self.end) - self.base
-        self.hash = mix(self.part(self.start, self.end) + self.count.astype(U) * U(0xD1B54A32D192ED03))
 
-    def part(self, a, b) -> np.ndarray:
-        """Polynomial of the bytes a..b, as if they began at 0."""
-        with np.errstate(over="ignore"):
-            return (self.total[b] - self.total[a]) * self.down[a]
+    def hashes(self, lines: np.ndarray) -> np.ndarray:
+        """128 bits of each of some lines, as two numbers."""
+        data, digest = self.buf.tobytes(), hashlib.blake2b
+        cut = zip(self.start[lines].tolist(), self.end[lines].tolist(), strict=True)
+        return np.frombuffer(b"".join([digest(data[a:b], digest_size=16).digest() for a, b in cut]), np.int64).reshape(-1, 2)
+
+    def part(self, a, b, to=None) -> np.ndarray:
+        """Polynomial of the bytes a..b, as if they began at 0, or at a - to."""
+        if self._total is None:
+            up, self._down = _power(len(self.buf) + 1)
+            self._total = _totals(self.buf, up[:-1])
+        return _times(_mod(self._total[b] + (_PRIME - self._total[a])), self._down[a if to is None else to])
 
     def at(self, line, k) -> np.ndarray:
         """Byte offset of a line's character k; its end for the last and one more."""
@@ -90,58 +145,76 @@ class Lines:
         k = np.arange(block * length // FINE, (block + 1) * length // FINE + (n - length))
         line = np.full(len(k), i)
         a, b = self.at(line, k), self.at(line, k + 1)
-        with np.errstate(over="ignore"):
-            left = self.part(self.start[line], a)
-            right = (self.total[self.end[line]] - self.total[b]) * self.down[self.start[line] + (b - a)]
-            whole = mix(left + right)
+        left = self.part(self.start[line], a)
+        right = self.part(b, self.end[line], self.start[line] + (b - a))
+        whole = mix(_mod(left + right))
         if n > length:
             return whole, k, np.ones(len(k), np.int64)
         own = mix(self.part(self.start[i : i + 1], self.end[i : i + 1]))
         return np.concatenate([whole, own]), np.concatenate([k, [-1]]), np.concatenate([np.ones(len(k), np.int64), [0]])
 
 
-def _index(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """Rows (id, no, h): every line that is not empty."""
+_KEY = ["id", "version"]
+
+
+def _rows(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, version, body): version tells rows with one id and different texts apart."""
+    return docs.select(F.col(id_).cast("long").alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("body"))
+
+
+def _index(rows: DataFrame) -> DataFrame:
+    """Rows (id, version, no, h, g): every line that is not empty, h and g being its hash."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, buf, off in texts(b.column(1)):
+            for row, buf, off in texts(b.column(2)):
                 x = Lines(buf, off)
                 doc = np.repeat(np.arange(len(off) - 1), np.diff(x.first))
                 no = np.arange(len(doc)) - x.first[doc]
                 some = np.flatnonzero(x.end > x.start)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + doc[some])), pa.array(no[some].astype(np.int64)), pa.array(x.hash[some].view(np.int64))], names=["id", "no", "h"])
+                h, of = x.hashes(some), pa.array(row + doc[some])
+                columns = [*(b.column(k).take(of) for k in (0, 1)), pa.array(no[some].astype(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "no", "h", "g"])
 
-    rows = docs.where(F.col(id_).isNotNull()).select(F.col(id_).cast("long"), text)
-    return rows.mapInArrow(read, "id long, no long, h long")
+    return rows.where("id IS NOT NULL").mapInArrow(read, "id long, version long, no long, h long, g long")
 
 
-def _keys(docs: DataFrame, id_: str, text: str, blocks: int, want: DataFrame | None = None) -> DataFrame:
-    """Rows (key, h): keys of the lines, with one of some blocks left out. want: (id, h) of the only lines to take."""
+def _keys(rows: DataFrame, blocks: int, min_chars: int, want: DataFrame | None = None) -> DataFrame:
+    """Rows (key, h): keys of the lines, with one of some blocks left out. want: (id, version, h) of the only lines to take."""
 
     chosen = want is not None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wanted = b.column(2).to_pylist() if chosen else None
-            for row, buf, off in texts(b.column(1)):
+            wanted = b.column(1) if chosen else None
+            for row, buf, off in texts(b.column(0)):
                 x = Lines(buf, off)
-                take = np.ones(len(x.hash), dtype=bool)
+                some = np.flatnonzero((x.count >= max(1, min_chars)) & (x.end > x.start))
+                h = x.hashes(some)[:, 0]
                 if wanted is not None:
-                    of = [np.isin(x.hash[x.first[d] : x.first[d + 1]].view(np.int64), np.array(wanted[row + d], np.int64)) for d in range(len(off) - 1)]
-                    take = np.concatenate(of)
+                    doc = np.searchsorted(x.first, some, "right") - 1
+                    part = wanted.slice(row, len(off) - 1)
+                    of = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
+                    # one number of document and hash: one line too many does no harm
+                    with np.errstate(over="ignore"):
+                        one = [mix(v.view(U) + d.astype(U) * U(0x9E3779B97F4A7C15)) for v, d in ((h, doc), (part.flatten().to_numpy(), of))]
+                    take = np.isin(*one)
+                    some, h = some[take], h[take]
                 keys, lines = [], []
                 for less in (0, 1):
-                    long = np.flatnonzero((x.count >= MIN_CHARS + less) & take)
+                    long = x.count[some] >= max(1, min_chars) + less
+                    line = some[long]
                     for block in range(blocks):
-                        keys.append(x.coarse(long, x.count[long] - less, block, blocks))
-                        lines.append(x.hash[long])
+                        keys.append(x.coarse(line, x.count[line] - less, block, blocks))
+                        lines.append(h[long])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (keys, lines)], names=["key", "h"])
 
-    rows = docs.where(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias(id_), text)
+    rows = rows.where("id IS NOT NULL")
     if chosen:
-        per = written(want.groupBy(F.col("id").alias(id_)).agg(F.collect_set("h").alias("want")), "wanted")
-        rows = rows.join(small(per), id_).select(id_, text, "want")
+        per = written(want.groupBy(*_KEY).agg(F.collect_set("h").alias("want")), "wanted")
+        rows = rows.join(small(per), _KEY).select("body", "want")
+    else:
+        rows = rows.select("body")
     return rows.mapInArrow(read, "key long, h long")
 
 
@@ -151,82 +224,94 @@ def _met(keys: DataFrame) -> DataFrame:
     return keys.join(small(written(met, "met")), "key")
 
 
-def _emit(docs: DataFrame, id_: str, text: str, want: DataFrame) -> DataFrame:
-    """Rows (h, text, variants) of the wanted lines: want has (id, h, keys), the fine keys that another line has too."""
+def _emit(rows: DataFrame, want: DataFrame, min_chars: int) -> DataFrame:
+    """Rows (h, g, line, v, kind) of the wanted lines: want has (id, version, h, keys), the fine keys another line has too."""
+
+    def variants(x: Lines, i: int, keys: set[int]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Keys of the variants and their kinds: 0 a replacement at a place, 1 the longer line of an insertion, 2 the shorter."""
+        parts = []
+        for less in (0, 1):
+            length = int(x.count[i]) - less
+            if length < max(1, min_chars):
+                continue
+            one, n = np.array([i]), np.array([length])
+            parts += [x.variants(i, length, k) for k in range(FINE) if int(x.coarse(one, n, k, FINE)[0]) in keys]
+        if not parts:
+            return None
+        v, k, one = (np.concatenate(p) for p in zip(*parts, strict=True))
+        with np.errstate(over="ignore"):
+            replaced = mix(v + (k + 2).astype(U) * U(0xD1B54A32D192ED03))[one == 1]
+        kind = np.concatenate([np.zeros(len(replaced), np.int64), np.where(one == 1, 1, 2)])
+        every = np.unique(np.stack([np.concatenate([replaced, v]).view(np.int64), kind], 1), axis=0)
+        return every[:, 0], every[:, 1]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wanted = b.column(2).to_pylist()
-            for row, buf, off in texts(b.column(1)):
+            wanted = b.column(1).to_pylist()
+            for row, buf, off in texts(b.column(0)):
                 x = Lines(buf, off)
-                out = []
-                for d in range(len(off) - 1):
-                    keys = {w["h"]: {k & 0xFFFFFFFFFFFFFFFF for k in w["keys"]} for w in wanted[row + d]}
-                    seen = set()
-                    for i in range(x.first[d], x.first[d + 1]):
-                        h = int(x.hash[i].view(np.int64))
-                        if h not in keys or h in seen:
-                            continue
-                        seen.add(h)
-                        parts = []
-                        for less in (0, 1):
-                            length = int(x.count[i]) - less
-                            if length < MIN_CHARS:
-                                continue
-                            one, n = np.array([i]), np.array([length])
-                            parts += [x.variants(i, length, k) for k in range(FINE) if int(x.coarse(one, n, k, FINE)[0]) in keys[h]]
-                        if parts:
-                            v, k, one = (np.concatenate(p) for p in zip(*parts, strict=True))
-                            with np.errstate(over="ignore"):
-                                replaced = mix(v + (k + 2).astype(U) * U(0xD1B54A32D192ED03))[one == 1]
-                            # kinds: 0 a replacement at a place, 1 the longer line of an insertion, 2 the shorter
-                            every = np.unique(np.stack([np.concatenate([replaced, v]).view(np.int64), np.concatenate([np.zeros(len(replaced), np.int64), np.where(one == 1, 1, 2)])], 1), axis=0)
-                            out.append((h, buf[x.start[i] : x.end[i]].tobytes().decode(), every[:, 0], every[:, 1]))
-                where = np.concatenate([[0], np.cumsum([len(o[2]) for o in out])]).astype(np.int32)
+                some = np.flatnonzero((x.count >= max(1, min_chars)) & (x.end > x.start))
+                out, seen = [], set()
+                doc = np.searchsorted(x.first, some, "right") - 1
+                keys = [{w["h"]: {k & 0xFFFFFFFFFFFFFFFF for k in w["keys"]} for w in wanted[row + d]} for d in range(len(off) - 1)]
+                for i, d, (h, g) in zip(some.tolist(), doc.tolist(), x.hashes(some).tolist(), strict=True):
+                    if h not in keys[d] or (d, h, g) in seen:
+                        continue
+                    seen.add((d, h, g))
+                    got = variants(x, i, keys[d][h])
+                    if got is not None:
+                        out.append((h, g, buf[x.start[i] : x.end[i]].tobytes().decode(), *got))
+                where = np.concatenate([[0], np.cumsum([len(o[3]) for o in out])]).astype(np.int32)
                 flat = lambda k: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(where), pa.array(flat(k))) for k in (2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), *lists], names=["h", "line", "v", "kind"])
-
-    per = want.groupBy("id").agg(F.collect_list(F.struct("h", "keys")).alias("want"))
-    per = written(per.withColumnRenamed("id", id_), "wanted")
-    rows = docs.select(F.col(id_).cast("long").alias(id_), text).join(small(per), id_)
-    return rows.select(id_, text, "want").mapInArrow(read, "h long, line string, v array<long>, kind array<long>")
-
-
-def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, no): the lines that go."""
-    index = written(_index(docs, id_, text), "lines")
-    # per distinct line its earliest place; the hash breaks ties between rows of one id
-    lines = written(index.groupBy("h").agg(F.min(F.struct("id", "no", "h")).alias("at"), F.count("*").alias("n")), "distinct")
-    some = written(_met(_keys(docs, id_, text, COARSE)).select("h").distinct(), "some")
-    some = written(lines.join(some, "h", "left_semi").select("at.id", "h", "at"), "places")
-    near = _met(written(_keys(docs, id_, text, FINE, some.select("id", "h")), "fine")).groupBy("h").agg(F.collect_set("key").alias("keys"))
-    want = written(near.join(some, "h").select("id", "h", "keys"), "want")
-    emitted = written(_emit(docs, id_, text, want), "variants")
-    each = emitted.select("h", F.explode(F.arrays_zip("v", "kind")).alias("x")).select("h", "x.v", "x.kind").join(some.select("h", "at"), "h")
+                lists = [pa.ListArray.from_arrays(pa.array(where), pa.array(flat(k))) for k in (3, 4)]
+                own = [pa.array([o[k] for o in out], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))]
+                yield pa.RecordBatch.from_arrays([*own, *lists], names=["h", "g", "line", "v", "kind"])
+
+    per = written(want.groupBy(*_KEY).agg(F.collect_list(F.struct("h", "keys")).alias("want")), "wanted")
+    each = rows.join(small(per), _KEY).select("body", "want")
+    return each.mapInArrow(read, "h long, g long, line string, v array<long>, kind array<long>")
+
+
+def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """Rows (id, version, no): the lines that go; version is xxhash64 of the text."""
+    rows, line = _rows(docs, id_, text), ["h", "g"]
+    index = written(_index(rows), "lines")
+    # per distinct line its earliest place
+    lines = index.groupBy(*line).agg(F.min(F.struct(*_KEY, "no", *line)).alias("at"), F.count("*").alias("n"))
+    lines = written(lines, "distinct")
+    some = written(_met(_keys(rows, COARSE, min_chars)).select("h").distinct(), "some")
+    some = written(lines.join(some, "h", "left_semi").select("at.*", "at"), "places")
+    fine = written(_keys(rows, FINE, min_chars, some.select(*_KEY, "h")), "fine")
+    near = _met(fine).groupBy("h").agg(F.collect_set("key").alias("keys"))
+    want = written(near.join(some, "h").select(*_KEY, "h", "keys"), "want")
+    emitted = written(_emit(rows, want, min_chars).dropDuplicates(line), "variants")
+    each = emitted.select(*line, F.explode(F.arrays_zip("v", "kind")).alias("x")).select(*line, "x.v", "x.kind")
+    each = each.join(some.select(*line, "at"), line)
     group = Window.partitionBy("v", F.expr("kind > 0"))
     first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("at"))).over(group)
-    each = each.withColumn("by", F.when(F.col("kind") == 0, first(0)).when(F.col("kind") == 1, first(2)).otherwise(first(1)))
-    pairs = each.where("by < at").select("h", F.col("by.h").alias("g")).distinct()
-    words = emitted.select("h", "line")
-    pairs = pairs.join(words, "h").join(words.select(F.col("h").alias("g"), F.col("line").alias("other")), "g")
-    close = written(pairs.where(F.levenshtein("line", "other", 1).between(0, 1)).select("h").distinct(), "close")
-    again = lines.where("n > 1").select("h", "at").join(close.withColumn("all", F.lit(True)), "h", "full")
-    again = written(again.select("h", F.when(F.col("all").isNull(), F.col("at")).alias("keep")), "again")
-    gone = index.select("id", "no", "h").join(small(again), "h")
-    return gone.where("keep IS NULL OR id <> keep.id OR no <> keep.no").select("id", "no")
-
-
-def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    by = F.when(F.col("kind") == 0, first(0)).when(F.col("kind") == 1, first(2)).otherwise(first(1))
+    pairs = each.withColumn("by", by).where("by < at").select(*line, F.col("by.h").alias("h2"), F.col("by.g").alias("g2")).distinct()
+    words = emitted.select(*line, "line")
+    pairs = pairs.join(words, line).join(words.toDF("h2", "g2", "other"), ["h2", "g2"])
+    close = written(pairs.where(F.levenshtein("line", "other", 1).between(0, 1)).select(*line).distinct(), "close")
+    again = lines.where("n > 1").select(*line, "at").join(close.withColumn("all", F.lit(True)), line, "full")
+    again = written(again.select(*line, F.when(F.col("all").isNull(), F.col("at")).alias("keep")), "again")
+    gone = index.join(small(again), line)
+    other = "keep IS NULL OR id <> keep.id OR version <> keep.version OR no <> keep.no"
+    return gone.where(other).select(*_KEY, "no")
+
+
+def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with its text's removed lines left out, and ``n_lines`` and ``n_kept``."""
-    gone = removed_lines(docs, id_, text).groupBy("id").agg(F.collect_set("no").alias("_gone"))
-    gone = written(gone.withColumnRenamed("id", id_), "removed")
-    if (gone.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= BROADCAST_LINES:
-        gone = small(gone)
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    out = docs.join(gone, id_, "left").withColumn("_lines", lines)
-    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i.cast("long"))))
-    return out.withColumns({"n_lines": F.size("_lines").cast("long"), "_kept": kept}).withColumns({text: F.array_join("_kept", "\n"), "n_kept": F.size("_kept").cast("long")}).drop("_gone", "_lines", "_kept")
+    gone = removed_lines(docs, id_, text, min_chars).groupBy(*_KEY).agg(F.collect_set("no").alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_).cast("long").alias("id"), F.xxhash64(text).alias("version"))
+    rows = rows.join(small(written(gone, "removed")), _KEY, "left")
+    rows = rows.withColumn("lines", F.split(F.coalesce(f"row.`{text}`", F.lit("")), "\n"))
+    stays = F.filter("lines", lambda _, i: ~F.array_contains("gone", i.cast("long")))
+    rows = rows.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stays))
+    added = {"n_lines": F.size("lines").cast("long"), "n_kept": F.size("kept").cast("long")}
+    columns = [F.array_join("kept", "\n").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c not in added]
+    return rows.select(*columns, *(v.alias(c) for c, v in added.items()))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
