@@ -9,6 +9,8 @@ from larkspur.functions.values import (
     json_get,
     json_is_close,
     json_keys,
+    json_make,
+    json_members,
     json_parse,
     json_set,
     json_size,
@@ -16,6 +18,6 @@ from larkspur.functions.values import (
 )
 
 __all__ = [
-    "allow_duplicate_keys", "format_position", "json_check", "json_each", "json_equal", "json_get", "json_is_close", "json_keys", "json_number",
+    "allow_duplicate_keys", "format_position", "json_check", "json_each", "json_equal", "json_get", "json_is_close", "json_keys", "json_make", "json_members", "json_number",
     "json_parse", "json_set", "json_size", "json_text", "json_typeof", "json_valid",
 ]

@@ -1,4 +1,4 @@
-"""The event stream of JSON texts as rows, in one pass of Arrow batches."""
+"""The event stream of JSON texts as rows."""
 
 from __future__ import annotations
 
@@ -7,46 +7,58 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from larkspur.checker import Handler, Recorder, parse
-from larkspur.functions.checks import _RESULT_PA, RESULT, decoded, result_row
+from larkspur.functions.checks import _RESULT_PA, RESULT, decoded, mapped, result_row
+from larkspur.functions.native import flat, flat_events
 from larkspur.policy import Policy
 
-_EVENT = pa.schema([("seq", pa.int32()), ("event", pa.string()), ("depth", pa.int32()), ("key", pa.string()), ("str", pa.string()), ("i", pa.int64()), ("f", pa.float64()), ("b", pa.bool_())])
-_ROWS = 20_000
+_FIELDS = {"event": pa.string(), "depth": pa.int32(), "key": pa.string(), "str": pa.string(), "i": pa.int64(), "f": pa.float64(), "b": pa.bool_()}
+_KINDS = {"event": T.StringType(), "depth": T.IntegerType(), "key": T.StringType(), "str": T.StringType(), "i": T.LongType(), "f": T.DoubleType(), "b": T.BooleanType()}
+EVENTS = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in _KINDS.items()]))
 
 
-def json_events(df: DataFrame, id_: str, text: str, policy: Policy | None = None) -> DataFrame:
-    """Rows (id, seq, event, depth, key, str, i, f, b), in the order of seq within a text.
+def event_row(name: str, got: object, depth: int) -> tuple:
+    """An event as (event, depth, key, str, i, f, b); integers beyond 64 bits come as digits in str."""
+    big = name == "integer" and not -(1 << 63) <= got < 1 << 63
+    text = str(got) if big else got if name == "string" else None
+    number = got if name == "integer" and not big else None
+    return name, depth, got if name == "key" else None, text, number, got if name == "float" else None, got if name == "boolean" else None
 
-    Events before an error are given; integers beyond 64 bits come as digits in str. Null texts give no rows.
-    """
-    policy = policy or Policy()
-    kind = df.schema[id_].dataType
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, ids = [], []
-
-            def flush(b: pa.RecordBatch = b):
-                cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _EVENT, strict=True)] if rows else [pa.array([], f.type) for f in _EVENT]
-                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), *cols], names=["id", *_EVENT.names])
+def event_lists(policy: Policy) -> Callable[[list], pa.Array]:
+    """Of a list of texts the array of their lists of events; none for null."""
 
-            for at, value in enumerate(b.column(1).to_pylist()):
-                if value is None:
-                    continue
+    def read(values: list) -> pa.Array:
+        rows, ends = [], [0]
+        for value in values:
+            if value is not None:
                 seen = Recorder()
                 parse(decoded(value)[0], policy, seen)
-                for seq, (name, got, depth) in enumerate(seen.events):
-                    big = name == "integer" and not -(1 << 63) <= got < 1 << 63
-                    rows.append((seq, name, depth, got if name == "key" else None, str(got) if big else got if name == "string" else None, got if name == "integer" and not big else None, got if name == "float" else None, got if name == "boolean" else None))
-                    ids.append(at)
-                if len(rows) >= _ROWS:
-                    yield flush()
-                    rows, ids = [], []
-            yield flush()
+                rows += [event_row(*e) for e in seen.events]
+            ends.append(len(rows))
+        columns = zip(*rows, strict=True) if rows else [()] * len(_FIELDS)
+        each = [pa.array(c, t) for c, t in zip(columns, _FIELDS.values(), strict=True)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(each, names=list(_FIELDS)))
 
-    return df.select(F.col(id_).alias("id"), text).mapInArrow(read, f"id {kind.simpleString()}, seq int, event string, depth int, key string, str string, i long, f double, b boolean")
+    return read
+
+
+def json_events(df: DataFrame, id_: str, text: str, policy: Policy | None = None) -> DataFrame:
+    """Rows (id, seq, event, depth, key, str, i, f, b), in the order of seq within a text.
+
+    Events before an error are given; integers beyond 64 bits come as digits in str. Null texts give no rows; malformed
+    UTF-8 is replaced (json_check() tells). Plain texts of one level are cut up by expressions, others by the reader.
+    """
+    policy = policy or Policy()
+    body = F.col(text)
+    plain = flat(body, policy)
+    rest = mapped(F.when(~plain, body), EVENTS, event_lists(policy))
+    events = F.when(plain, flat_events(body, policy)).otherwise(rest)
+    each = df.select(F.col(id_).alias("id"), events.alias("e")).select("id", F.posexplode("e").alias("seq", "e"))
+    return each.select("id", "seq", "e.*")
 
 
 def token() -> Column:
@@ -81,10 +93,7 @@ def accumulate(df: DataFrame, id_: str, text: str, handler: Callable[[], Handler
     """
     policy = policy or Policy()
     kind = df.schema[id_].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    spark_type = _parse_datatype_string(schema)
+    spark_type = T._parse_datatype_string(schema)
     arrow = to_arrow_type(spark_type)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

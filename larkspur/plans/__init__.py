@@ -1 +1,6 @@
-"""The queries of this library and their SQL."""
+"""The query catalogue."""
+
+from larkspur.plans import more as more
+from larkspur.plans.catalogue import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -11,7 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import allow_duplicate_keys, json_check, json_each, json_equal, json_get, json_is_close, json_keys, json_parse, json_set, json_size, json_typeof, json_valid
+from larkspur.functions import (
+    allow_duplicate_keys,
+    json_check,
+    json_each,
+    json_equal,
+    json_is_close,
+    json_keys,
+    json_members,
+    json_parse,
+    json_set,
+    json_size,
+    json_valid,
+)
+from larkspur.functions import json_get as get_under
+from larkspur.functions import json_typeof as typeof_under
 from larkspur.operators import json_assemble, json_events, json_render
 from larkspur.policy import Policy
 from larkspur.sources import split_chunks
@@ -34,6 +48,14 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def json_get(v: Column | str, key: str | int | None, kind: str) -> Column:
+    return get_under(v, key, kind, WIDE)
+
+
+def json_typeof(v: Column | str) -> Column:
+    return typeof_under(v, WIDE)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -48,8 +70,8 @@ def parsed(df: DataFrame, text: Column | str, policy: Policy = WIDE) -> DataFram
   CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k FROM events GROUP BY 1""")
 def flagship_props_by_type(spark, sf):
     """Per event type: events, malformed props, and the sum of props.k."""
-    df = parsed(table(spark, sf, "events").select("event_type", "props"), "props")
-    return df.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("malformed"), F.sum(json_get("v", "k", "integer")).alias("sum_k"))
+    df = table(spark, sf, "events").select("event_type", json_members("props", {"k": "integer"}, WIDE).alias("m"))
+    return df.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("m").isNull()).alias("malformed"), F.sum("m.k").alias("sum_k"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (json_valid(props)) AS valid FROM events")
@@ -79,16 +101,15 @@ def as_json(df: DataFrame, *cols: str) -> Column:
 @query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
 def roundtrip_customer(spark, sf):
     df = table(spark, sf, "customer")
-    df = parsed(df.select(as_json(df).alias("j")), "j")
-    number = F.coalesce(json_get("v", "c_acctbal", "float"), json_get("v", "c_acctbal", "integer").cast("double"))
-    return df.select(json_get("v", "c_custkey", "integer").alias("c_custkey"), json_get("v", "c_name", "string").alias("c_name"), json_get("v", "c_nationkey", "integer").alias("c_nationkey"), F.round(number, 2).alias("c_acctbal"), json_get("v", "c_mktsegment", "string").alias("c_mktsegment"))
+    kinds = {"c_custkey": "integer", "c_name": "string", "c_nationkey": "integer", "c_acctbal": "number", "c_mktsegment": "string"}
+    return df.select(json_members(as_json(df), kinds, WIDE).alias("m")).select("m.*").withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
 @query("SELECT doc_id, md5(text) AS md5 FROM documents")
 def roundtrip_text_unicode(spark, sf):
     df = table(spark, sf, "documents")
-    df = parsed(df.select("doc_id", as_json(df, "text").alias("j")), "j")
-    return df.select("doc_id", F.md5(json_get("v", "text", "string").cast("binary")).alias("md5"))
+    df = df.select("doc_id", json_members(as_json(df, "text"), {"text": "string"}, WIDE).alias("m"))
+    return df.select("doc_id", F.md5(F.col("m.text").cast("binary")).alias("md5"))
 
 
 @query("SELECT doc_id, octet_length(encode(text)) <= 64 AS ok, CASE WHEN octet_length(encode(text)) > 64 THEN 'string_too_long' END AS error FROM documents")
@@ -152,8 +173,8 @@ def array_pack_unpack(spark, sf):
     """Lines packed into an array per order, and unpacked again."""
     df = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice"))).alias("j"))
     each = json_each(parsed(df, "j").drop("j"), "v", value="m").drop("v")
-    number = F.coalesce(json_get("m", "l_extendedprice", "float"), json_get("m", "l_extendedprice", "integer").cast("double"))
-    return each.select("l_orderkey", json_get("m", "l_linenumber", "integer").alias("l_linenumber"), json_get("m", "l_partkey", "integer").alias("l_partkey"), F.round(number, 2).alias("price"))
+    got = {k: json_get("m", n, kind) for k, n, kind in (("l_linenumber", "l_linenumber", "integer"), ("l_partkey", "l_partkey", "integer"), ("price", "l_extendedprice", "number"))}
+    return each.select("l_orderkey", *(v.alias(k) for k, v in got.items())).withColumn("price", F.round("price", 2))
 
 
 def _lines(spark, sf) -> DataFrame:
@@ -372,7 +393,7 @@ def render_tokens(spark, sf):
     return out.select(F.col("id").alias("n_nationkey"), "tokens")
 
 
-@query()
+@query("SELECT 'OBJECT<k: BIGINT>' AS schema")
 def variant_agg_schema(spark, sf):
     return parsed(table(spark, sf, "events"), "props").agg(F.schema_of_variant_agg("v").alias("schema"))
 
@@ -383,9 +404,16 @@ def variant_agg_schema(spark, sf):
 def _orders(spark, sf) -> DataFrame:
     """Orders as documents, with the members that the queries below read."""
     df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate")
-    df = parsed(df.select("o_orderdate", as_json(df, "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").alias("j")), "j")
-    price = F.coalesce(json_get("v", "o_totalprice", "float"), json_get("v", "o_totalprice", "integer").cast("double"))
-    return df.select("o_orderdate", json_get("v", "o_orderkey", "integer").alias("okey"), json_get("v", "o_custkey", "integer").alias("ckey"), F.round(price, 2).alias("price"), json_get("v", "o_orderpriority", "string").alias("priority"))
+    text = as_json(df, "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    kinds = {"o_orderkey": "integer", "o_custkey": "integer", "o_totalprice": "number", "o_orderpriority": "string"}
+    m = df.select("o_orderdate", json_members(text, kinds, WIDE).alias("m"))
+    return m.select("o_orderdate", F.col("m.o_orderkey").alias("okey"), F.col("m.o_custkey").alias("ckey"), F.round("m.o_totalprice", 2).alias("price"), F.col("m.o_orderpriority").alias("priority"))
+
+
+def _events(spark, sf) -> DataFrame:
+    """Events with the member k of their properties."""
+    df = table(spark, sf, "events")
+    return df.select("event_id", "ts", "user_id", "event_type", "value", json_members("props", {"k": "integer"}, WIDE)["k"].alias("k"))
 
 
 @query("SELECT c_mktsegment, count(*) AS n, round(sum(round(o_totalprice, 2)), 1) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
@@ -417,8 +445,8 @@ def setop_json(spark, sf):
 
 @query("SELECT date_trunc('hour', ts) AS start, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k FROM events GROUP BY 1")
 def tumbling_json(spark, sf):
-    df = parsed(table(spark, sf, "events").select("ts", "props"), "props")
-    return df.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum(json_get("v", "k", "integer")).alias("sum_k")).select(F.col("w.start").alias("start"), "n", "sum_k")
+    df = _events(spark, sf)
+    return df.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum("k").alias("sum_k")).select(F.col("w.start").alias("start"), "n", "sum_k")
 
 
 @query("""WITH e AS (SELECT user_id, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
@@ -426,5 +454,5 @@ b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM b)
 SELECT user_id, min(ts) AS start, count(*) AS n, CAST(sum(k) AS BIGINT) AS sum_k FROM s GROUP BY user_id, s""")
 def session_json(spark, sf):
-    df = parsed(table(spark, sf, "events").select("user_id", "ts", "props"), "props")
-    return df.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.sum(json_get("v", "k", "integer")).alias("sum_k")).select("user_id", F.col("w.start").alias("start"), "n", "sum_k")
+    df = _events(spark, sf)
+    return df.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.sum("k").alias("sum_k")).select("user_id", F.col("w.start").alias("start"), "n", "sum_k")

@@ -1,84 +1,172 @@
-"""Documents that arrive in pieces on a stream."""
+"""Documents that arrive in pieces on a stream.
+
+Chunks are rows (id, seq INT, chunk BINARY, is_last BOOLEAN). Per document the state store keeps a Reader's state (open
+brackets, place, the token being read), the handler, and the chunks that came ahead of their turn; what has been read is
+not kept and not read again.
+
+Rules, the same for all operators here:
+
+* A chunk whose predecessor is missing is held until that one comes. Of two chunks with one seq the first counts.
+* Errors are sticky: after one, chunks are counted and not read.
+* When a document has ended, a mark of it stays for ``timeout`` of processing time; chunks delivered again meanwhile are
+  dropped.
+* A document of which no chunk came for ``timeout`` is given up: it ends with the error ``chunks_missing``, and its state
+  is removed. Chunks that come later still are those of a new document.
+* Without a timeout (the default) marks and unfinished documents stay. That is for streams that end: a query with a
+  timeout, such as "1 hour", looks for documents to give up for ever, and so does not end under the trigger availableNow.
+"""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from larkspur.checker import parse, position
-from larkspur.functions.checks import decoded
+from larkspur.checker import Handler, Recorder
+from larkspur.operators.events import EVENTS, event_row
+from larkspur.pieces import Reader
 from larkspur.policy import Policy
+from larkspur.storage import fresh_path
 
-OUTPUT = "id long, ok boolean, error string, line int, column int, chunks int, bytes long"
-STATE = "expected int, failed string, body binary, ahead array<struct<seq:int,chunk:binary,is_last:boolean>>"
+MISSING = "chunks_missing"
+_STATE = "expected int, bytes long, reader string, handler binary, seq int, done boolean, ahead array<struct<seq:int,chunk:binary,is_last:boolean>>"
+_UNITS = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
 
 
-def check_stream(chunks: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """Checks documents from streaming rows (id LONG, seq INT, chunk BINARY, is_last BOOLEAN); one row when a document ends.
+def _milliseconds(duration: str) -> int:
+    m = re.fullmatch(r"(\d+) (\w+?)s?", duration)
+    if not m or m[2] not in _UNITS:
+        raise ValueError(f"not a duration: {duration}")
+    return int(m[1]) * _UNITS[m[2]]
 
-    State per document, kept in the checkpoint: bytes received in order, chunks that came ahead of their turn, and the
-    first error. A chunk whose predecessor is missing is held, not read. Errors are sticky: once the text so far is
-    wrong whatever follows, its bytes are dropped and later chunks are only counted.
-    """
-    policy = policy or Policy()
+
+class Part:
+    """A document after a batch. seq: events given so far; ended: whether it is over; lost: whether it was given up."""
+
+    def __init__(self, key: Any, reader: Reader, handler: Handler, chunks: int, size: int, seq: int, ended: bool, lost: bool):
+        self.key, self.reader, self.handler = key, reader, handler
+        self.chunks, self.size, self.seq, self.ended, self.lost = chunks, size, seq, ended, lost
+
+
+def _each(chunks: DataFrame, schema: T.StructType, emit: Callable[[Part], list[tuple]], handler: Callable[[], Handler], policy: Policy | None, timeout: str | None) -> DataFrame:
+    policy, wait = policy or Policy(), _milliseconds(timeout) if timeout else None
+    mode = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
+    output = T.StructType([T.StructField("id", chunks.schema["id"].dataType), *schema.fields])
+
+    def frame(part: Part) -> pd.DataFrame:
+        rows = [(part.key, *r) for r in emit(part)]
+        return pd.DataFrame({f.name: pd.Series([r[k] for r in rows], dtype="object") for k, f in enumerate(output)})
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected, failed, body, ahead = state.get if state.exists else (0, None, b"", [])
-        body, waiting = bytes(body), {int(r[0]): (bytes(r[1]), bool(r[2])) for r in ahead}
+        if state.exists:
+            expected, size, stored, held, seq, done, ahead = state.get
+            reader = Reader(policy, cloudpickle.loads(bytes(held))).load(stored)
+        else:
+            expected, size, seq, done, ahead, reader = 0, 0, 0, False, [], Reader(policy, handler())
+        waiting = {int(r[0]): (bytes(r[1]), bool(r[2])) for r in ahead}
+        if state.hasTimedOut:
+            state.remove()
+            if not done:
+                yield frame(Part(key[0], reader, reader.handler, expected, size, seq, True, True))
+            return
         for f in frames:
-            waiting |= {int(s): (bytes(c), bool(e)) for s, c, e in zip(f["seq"], f["chunk"], f["is_last"], strict=True) if int(s) >= expected}
-        size, done = 0, False
+            for s, c, e in zip(f["seq"], f["chunk"], f["is_last"], strict=True):
+                if not done and int(s) >= expected:
+                    waiting.setdefault(int(s), (bytes(c), bool(e)))
+        read = False
         while not done and expected in waiting:
             chunk, done = waiting.pop(expected)
-            expected, body = expected + 1, body + chunk
-        if failed is None and not done:
-            cut = len(body)  # a character may be cut at the end
-            while cut and cut > len(body) - 4 and not _whole(body[:cut]):
-                cut -= 1
-            text, _ = decoded(body[:cut])
-            out = parse(text, policy, ended=False)
-            if out.error:
-                line, column = position(text, out.at)
-                failed = f"{out.error} {line} {column}"
-                body = b""
-        if done:
-            if failed is None:
-                text, _ = decoded(body)
-                out = parse(text, policy)
-                line, column = position(text, out.at)
-                error = out.error
-            else:
-                error, line, column = failed.split()
-            size = len(body) if failed is None else None
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "ok": [error is None], "error": [error], "line": [int(line)], "column": [int(column)], "chunks": [expected], "bytes": pd.array([size], dtype="Int64")})
-        else:
-            state.update((expected, failed, b"" if failed else body, [(s, c, e) for s, (c, e) in sorted(waiting.items())]))
+            expected, size, read = expected + 1, size + len(chunk), True
+            reader.feed(chunk)
+        if read:
+            if done:
+                reader.end()
+            part = Part(key[0], reader, reader.handler, expected, size, seq, done, False)
+            yield frame(part)
+            seq = part.seq
+        held = cloudpickle.dumps(Handler() if done else reader.handler)
+        rest = [] if done else [(s, c, e) for s, (c, e) in sorted(waiting.items())]
+        state.update((expected, size, Reader(policy).dump() if done else reader.dump(), held, seq, done, rest))
+        if wait is not None:
+            state.setTimeoutDuration(wait)
+
+    return chunks.groupBy("id").applyInPandasWithState(step, output, _STATE, "append", mode)
+
+
+def _fields(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+
+
+_INT, _LONG, _TEXT, _BOOL = T.IntegerType(), T.LongType(), T.StringType(), T.BooleanType()
+
+
+def _error(part: Part) -> str | None:
+    return part.reader.error or (MISSING if part.lost else None)
 
-    return chunks.groupBy("id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
+def check_stream(chunks: DataFrame, policy: Policy | None = None, timeout: str | None = None) -> DataFrame:
+    """Rows (id, ok, error, line, column, chunks, bytes, utf8_ok), one when a document ends."""
 
-def _whole(data: bytes) -> bool:
-    try:
-        data.decode()
-    except UnicodeDecodeError as e:
-        return e.reason != "unexpected end of data"
-    return True
+    def emit(part: Part) -> list[tuple]:
+        error = _error(part)
+        return [(error is None, error, *part.reader.input_pos, part.chunks, part.size, part.reader.utf8_ok)] if part.ended else []
+
+    schema = _fields(ok=_BOOL, error=_TEXT, line=_INT, column=_INT, chunks=_INT, bytes=_LONG, utf8_ok=_BOOL)
+    return _each(chunks, schema, emit, Handler, policy, timeout)
+
+
+def stream_progress(chunks: DataFrame, policy: Policy | None = None, timeout: str | None = None) -> DataFrame:
+    """Rows (id, ended, error, token_line, token_column, line, column, chunks): a row whenever a document was read on.
+
+    The token's place is where that begins which is due or being read, the other one where input has come to.
+    """
+
+    def emit(part: Part) -> list[tuple]:
+        return [(part.ended, _error(part), *part.reader.pos, *part.reader.input_pos, part.chunks)]
+
+    schema = _fields(ended=_BOOL, error=_TEXT, token_line=_INT, token_column=_INT, line=_INT, column=_INT, chunks=_INT)
+    return _each(chunks, schema, emit, Handler, policy, timeout)
+
+
+def stream_events(chunks: DataFrame, policy: Policy | None = None, timeout: str | None = None) -> DataFrame:
+    """Rows (id, seq, event, depth, key, str, i, f, b): a document's events, as soon as its chunks have brought them."""
+
+    def emit(part: Part) -> list[tuple]:
+        new, part.handler.events = part.handler.events, []
+        first, part.seq = part.seq, part.seq + len(new)
+        return [(first + k, *event_row(*e)) for k, e in enumerate(new)]
+
+    schema = T.StructType([T.StructField("seq", _INT), *EVENTS.elementType.fields])
+    return _each(chunks, schema, emit, Recorder, policy, timeout)
+
+
+def stream_accumulate(chunks: DataFrame, handler: Callable[[], Handler], schema: T.DataType, policy: Policy | None = None, timeout: str | None = None) -> DataFrame:
+    """Rows (id, ok, error, line, column, result), one when a document ends: a user's handler over each, fed chunk by chunk.
+
+    The handler is kept in the state between chunks, so it must be picklable; schema is the type of its result(). An
+    event method that returns a string ends the parse with that as the error's name.
+    """
+
+    def emit(part: Part) -> list[tuple]:
+        error = _error(part)
+        return [(error is None, error, *part.reader.input_pos, part.handler.result())] if part.ended else []
+
+    fields = _fields(ok=_BOOL, error=_TEXT, line=_INT, column=_INT, result=schema)
+    return _each(chunks, fields, emit, handler, policy, timeout)
 
 
 def finished(stream: DataFrame) -> DataFrame:
-    """Runs a stream over all that is there now, into a Parquet folder that executors share, and reads the folder."""
-    spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file:///tmp/larkspur-checkpoints"
-    path = f"{base.rstrip('/')}/larkspur-stream/{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    """Runs a stream over all that is there now, into a Parquet folder that executors share, and reads the folder.
+
+    The folder goes with ``larkspur.storage.cleanup()``.
+    """
+    path = fresh_path(stream.sparkSession, "stream")
+    writer = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")

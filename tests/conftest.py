@@ -38,7 +38,9 @@ def rows_of(frame) -> list[tuple]:
     def plain(v):
         if not isinstance(v, (list, tuple, dict)) and pd.isna(v):
             return "null"
-        return repr(round(float(v), 6)) if isinstance(v, float) else str(v)
+        if isinstance(v, float):  # whole numbers with nulls among them come as floats from one side
+            return str(int(v)) if v.is_integer() else repr(round(float(v), 6))
+        return str(v)
 
     cols = sorted(frame.columns)
     return sorted(tuple(plain(v) for v in r) for r in frame[cols].itertuples(index=False))

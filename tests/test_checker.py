@@ -37,7 +37,7 @@ def shown(text, policy=P):
         ('{"a":1, "a":true}', "{ K(a) I(1) K(a) T }", None), ('{"a": [1,2]}', "{ K(a) [ I(1) I(2) ] }", None), ('{"a":nu}', "{ K(a)", "unrecognized_token"),
         ("[1,", "[ I(1)", "expected_array_member"), ("[1, ", "[ I(1)", "expected_token"), ('{"a":', "{ K(a)", "expected_object_member"), ('{"a": ', "{ K(a)", "expected_token"),
         ("[[[[[[1,2]]]]]]", "[ [ [ [ [ [ I(1) I(2) ] ] ] ] ] ]", None), ("[[[[[[1, 2]]]]]]", "[ [ [ [ [ [ I(1)", "nesting_too_deep"),
-        ('  { "a":123, "b" : [false,"c"], "c":true }  ', "{ K(a) I(123) K(b) [ F S(c) ] K(c) T }", None), ("nu", "", "unrecognized_token"), ("bad", "", "expected_token"), ("falsehood", "F", "unexpected_extra_input"),
+        (' {"size" :17,\n"tags":["red",null] ,"old": true} ', "{ K(size) I(17) K(tags) [ S(red) N ] K(old) T }", None), ("nu", "", "unrecognized_token"), ("bad", "", "expected_token"), ("falsehood", "F", "unexpected_extra_input"),
     ],
 )
 def test_events_and_errors(text, events, error):

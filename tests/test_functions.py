@@ -5,12 +5,31 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.checker import Handler, number_value
-from larkspur.functions import allow_duplicate_keys, format_position, json_check, json_equal, json_get, json_keys, json_number, json_parse, json_set, json_size, json_text, json_typeof, json_valid
-from larkspur.operators import accumulate, json_assemble, json_events, json_render, json_tokens, register_json_events
+from larkspur.checker import Document, Handler, Recorder, number_value, parse, position
+from larkspur.functions import (
+    allow_duplicate_keys,
+    format_position,
+    json_check,
+    json_equal,
+    json_get,
+    json_keys,
+    json_make,
+    json_members,
+    json_number,
+    json_parse,
+    json_set,
+    json_size,
+    json_text,
+    json_typeof,
+    json_valid,
+)
+from larkspur.functions.native import flat, surely_valid
+from larkspur.operators import accumulate, asof_join, json_assemble, json_events, json_render, json_tokens, range_join, register_json_events
+from larkspur.pieces import Reader
 from larkspur.policy import Policy
-from larkspur.sources import split_chunks
-from larkspur.streaming import check_stream
+from larkspur.sources import read_documents, read_lines, split_chunks, write_documents
+from larkspur.storage import cleanup, fresh_path
+from larkspur.streaming import check_stream, stream_accumulate, stream_events, stream_progress
 
 WIDE = Policy.relaxed()
 
@@ -53,12 +72,12 @@ def test_equal_and_text(spark):
 
 
 def test_events_render_tokens_accumulate(spark):
-    df = frame(spark, '  { "a":123, "b" : [false,"c"], "c":true }  ', "[1 , ]", None)
+    df = frame(spark, ' {"size" :17,\n"tags":["red",null] ,"old": true} ', "[1 , ]", None)
     events = json_events(df, "id", "j")
     assert [r.event for r in events.where("id = 1").orderBy("seq").collect()] == ["begin_array", "integer"]
     assert events.where("id = 0").agg(F.max("depth")).first()[0] == 2
-    assert json_render(events).where("id = 0").first().tokens == '{ "a" 123 "b" [ false "c" ] "c" true }'
-    assert df.select(json_tokens("j").alias("t")).first().t == ["{", '"a"', ":", "123", ",", '"b"', ":", "[", "false", ",", '"c"', "]", ",", '"c"', ":", "true", "}"]
+    assert json_render(events).where("id = 0").first().tokens == '{ "size" 17 "tags" [ "red" null ] "old" true }'
+    assert df.select(json_tokens("j").alias("t")).first().t == ["{", '"size"', ":", "17", ",", '"tags"', ":", "[", '"red"', ",", "null", "]", ",", '"old"', ":", "true", "}"]
 
     class Sum(Handler):
         total = 0
@@ -70,7 +89,7 @@ def test_events_render_tokens_accumulate(spark):
             return self.total
 
     got = {r.id: (r.ok, r.result) for r in accumulate(df, "id", "j", Sum, "long").collect()}
-    assert got == {0: (True, 123), 1: (False, 1), 2: (None, None)}
+    assert got == {0: (True, 17), 1: (False, 1), 2: (None, None)}
 
 
 def test_table_function(spark):
@@ -116,3 +135,204 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(200)
     got = {r.id: (r.ok, r.error, r.column) for r in spark.table("checked").collect()}
     assert got == {0: (True, None, 10), 1: (False, "expected_token", 4), 2: (False, "unrecognized_token", 4), 3: (True, None, 11)}
+
+
+# the native lane against the reader
+
+PIECES = ['"', "\\", "u", "D8", "34", "n", "q", "{", "}", "[", "]", ":", ",", "1", "-", "0", ".", "e", "E", "+", "true", "nul", "null", "false", " ", "\n", "\r", "\t", "é", "\U0001d11e", "a", '"a"', '"key":', "99999999999", "\x01"]
+WHOLE = ['{"a":1,"b":[true,null,1.5e3,"x\\u00e9\\ud834\\udd1e"],"c":{}}', '[1,2,[3,[4]],{"a":"b"}]', " [ 1 ,\r\n 2.0 ] ", '"é\U0001d11ex"', "12.50e-3", '{"k": 2.99999999999999, "l": -0.0 }', '[{"a":[]},{"b":"' + "z" * 20 + '"}]']
+POLICIES = [Policy(), WIDE, Policy(float=None), Policy(float="float", int_bits=16, max_length=9, max_stack_depth=4), Policy(max_stack_depth=2, max_array_size=1, max_object_size=1), Policy(int_bits=128), Policy(float="float", int_bits=64)]
+
+
+def mixed_texts(seed: int, n: int) -> list[str]:
+    import random
+
+    r = random.Random(seed)
+    out = list(WHOLE)
+    while len(out) < n:
+        t = "".join(r.choice(PIECES) for _ in range(r.randint(0, 10))) if r.random() < 0.4 else r.choice(WHOLE)
+        for _ in range(r.randint(0, 3)):
+            k = r.randint(0, len(t))
+            t = t[:k] + r.choice(PIECES) + t[k + r.randint(0, 2) :]
+        out.append(t)
+    return out
+
+
+@pytest.mark.parametrize("policy", POLICIES)
+def test_columns_are_the_readers(spark, policy):
+    texts = mixed_texts(policy.int_bits, 1500)
+    df = frame(spark, *texts).repartition(4)
+    sure, level = surely_valid(F.col("j"), policy, True), flat(F.col("j"), policy)
+    rows = df.select("id", json_check("j", policy, values=True).alias("r"), json_valid("j", policy).alias("v"), sure.alias("sure"), level.alias("flat")).collect()
+    events: dict = {}
+    for e in json_events(df, "id", "j", policy).orderBy("id", "seq").collect():
+        value = e.key if e.event == "key" else e.str if e.str is not None else e.f if e.event == "float" else e.b if e.event == "boolean" else e.i
+        events.setdefault(e.id, []).append((e.event, value, e.depth))
+    sures = 0
+    for r in rows:
+        t, seen = texts[r.id], Recorder()
+        whole, plain = parse(t, policy, Document(policy)), parse(t, policy, seen)
+        line, column = position(t, whole.at)
+        assert (r.r.ok, r.r.err and r.r.err.name, r.r.pos.line, r.r.pos.column, r.v) == (whole.ok, whole.error, line, column, plain.ok), t
+        assert whole.ok or not r.sure and not (r.flat and not plain.ok), t
+        want = [(n, str(v) if n == "integer" and abs(v) >= 1 << 63 else v, d) for n, v, d in seen.events]
+        assert events.get(r.id, []) == want, t
+        sures += r.sure
+    assert sures > 20 or policy.max_stack_depth < 4
+
+
+@pytest.mark.parametrize("policy", POLICIES)
+def test_types_are_the_readers(spark, policy):
+    """json_typeof() and json_get() give what the reader's event gives, near-whole floats and all widths included."""
+    tokens = ["0", "-0", "1", "-1", "2.99999999999999", "3.00000000000001", "2.9999999999999999", "-2.99999999999999", "0.00000000000001", "0.0000000000001", "1.0", "1e2", "1.5", "-2.25", "3000000000.0", "1e18", "1e19", "-1e30", "1e37", "32767.0", "32768.0", "-32768.0", "2147483647.0", "2147483648.0", "9223372036854775807", "9223372036854775807.0", "16777217.0", "0.1", "33.0000001", "1e-300", "12345678901234567890123456789012345678", '"x"', "true", "null", "[]", "{}"]
+    df = frame(spark, *tokens).withColumn("v", json_parse("j", policy))
+    kinds = ("integer", "float", "number", "string", "boolean", "null")
+    rows = df.select("j", json_typeof("v", policy).alias("kind"), *(json_get("v", None, k, policy).alias(k) for k in kinds)).collect()
+    for r in rows:
+        seen = Recorder()
+        out = parse(r.j, policy, seen)
+        name, value, _ = seen.events[0] if out.ok else (None, None, 0)
+        assert r.kind == {"begin_array": "array", "begin_object": "object"}.get(name, name), r.j
+        for k in kinds[:2] + kinds[3:5]:
+            assert r[k] == (value if name == k else None), (r.j, k)
+        assert r.number == (float(value) if name in ("integer", "float") else None), r.j
+        assert r["null"] == (True if name == "null" else None)
+
+
+def test_members(spark):
+    df = frame(spark, '{"a":1,"b":"x","a":2.0,"c":{"z":[1]}}', '{"a":"1","b":null}', "[1]", "{", None, '{"it\'s \\"k\\"":3}')
+    rows = df.select(json_members("j", {"a": "integer", "b": "string", "c": "object", "it's \"k\"": "number"}, WIDE).alias("m")).collect()
+    assert [None if r.m is None else tuple(r.m)[:2] for r in rows] == [(2, "x"), (None, None), (None, None), None, None, (None, None)]
+    assert rows[0].m.c is not None and rows[5].m[3] == 3.0
+    v = df.select(json_get(json_parse("j", WIDE), "it's \"k\"", "integer").alias("q")).collect()
+    assert v[5].q == 3 and v[0].q is None
+    plan = df.select(json_members("j", {"a": "integer", "b": "string"}, WIDE).alias("m")).select("m.*").where("a > 1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parse_json") == 0
+
+
+def test_made_values(spark):
+    df = spark.createDataFrame([(7, "x", None)], "n int, s string, z int")
+    got = df.select(*(F.to_json(json_make(k, v)).alias(k) for k, v in (("integer", F.col("n")), ("float", F.col("n")), ("string", F.col("s")), ("boolean", F.col("n") > 1), ("array", F.array("n")), ("object", F.struct("s")), ("null", None)))).first()
+    assert tuple(got) == ("7", "7.0", '"x"', "true", "[7]", '{"s":"x"}', "null")
+    assert df.select(json_make("integer", F.col("z")).alias("v")).first().v is None
+    with pytest.raises(ValueError):
+        json_make("int")
+
+
+# pieces
+
+
+def test_reader_of_pieces_is_the_reader():
+    import random
+
+    r = random.Random(5)
+    for k, t in enumerate(mixed_texts(9, 6000)):
+        policy, data, at, seen, whole = POLICIES[k % len(POLICIES)], t.encode(), 0, Recorder(), Recorder()
+        reader = Reader(policy, seen)
+        while at < len(data):
+            n = r.randint(1, 4)
+            reader.feed(data[at : at + n])
+            at += n
+            if r.random() < 0.3:  # stored, and taken up again
+                reader = Reader(policy, seen).load(reader.dump())
+        reader.end()
+        out = parse(t, policy, whole)
+        assert (reader.error, reader.input_pos, seen.events) == (out.error, position(t, out.at), whole.events), (t, policy)
+
+
+def test_reader_keeps_little(spark):
+    reader = Reader(WIDE)
+    reader.feed("[" + "1 , " * 5000 + '"begun')
+    assert len(reader.dump()) < 200 and reader.pos == (1, 20_002) and reader.input_pos == (1, 20_008)
+    assert Reader(WIDE).feed(b'"\xff').feed(b'"').end().utf8_ok is False
+
+
+SCHEMA = "id long, seq int, chunk binary, is_last boolean"
+
+
+def run(spark, stream, path, name, **trigger):
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(path)).trigger(**trigger).start()
+    assert q.awaitTermination(100)
+    return spark.table(name).collect()
+
+
+def put(spark, folder, *rows):
+    spark.createDataFrame([(i, s, bytearray(c), e) for i, s, c, e in rows], SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def test_stream_of_chunks_delivered_again_and_lost(spark, tmp_path):
+    folder = tmp_path / "in"
+    put(spark, folder, (1, 0, b"[1", False), (1, 0, b"[9", False), (2, 0, b'{"a"', False), (3, 1, b"]", True))
+    put(spark, folder, (1, 1, b"]", True), (1, 0, b"[1", False), (2, 0, b'{"a"', False))
+    put(spark, folder, (1, 0, b"[1", False), (1, 1, b"]", True), (2, 1, b":2", False), (3, 0, b"[", False))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = run(spark, check_stream(stream), tmp_path / "c1", "again", availableNow=True)
+    assert sorted((r.id, r.ok, r.chunks, r.bytes) for r in got) == [(1, True, 2, 3), (3, True, 2, 2)]
+    events = run(spark, stream_events(stream), tmp_path / "c2", "again_events", availableNow=True)
+    assert sorted((r.id, r.seq, r.event) for r in events) == [(1, 0, "begin_array"), (1, 1, "integer"), (1, 2, "end_array"), (2, 0, "begin_object"), (2, 1, "key"), (3, 0, "begin_array"), (3, 1, "end_array")]
+    progress = run(spark, stream_progress(stream), tmp_path / "c3", "again_progress", availableNow=True)
+    assert sorted((r.id, r.chunks, r.token_column, r.column) for r in progress if r.id == 2) == [(2, 1, 5, 5), (2, 2, 6, 7)]
+
+
+def test_stream_gives_up_lost_documents(spark, tmp_path):
+    import time
+
+    folder = tmp_path / "in"
+    put(spark, folder, (1, 0, b"[1", False), (2, 0, b"[]", True))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    out = check_stream(stream, timeout="1 second").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+    for _ in range(2):
+        assert out.trigger(once=True).start().awaitTermination(100)
+        time.sleep(1.5)
+        put(spark, folder, (3, 0, b"[", False))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.id, r.ok, r.error) for r in got) == [(1, False, "chunks_missing"), (2, True, None)]
+    with pytest.raises(ValueError):
+        check_stream(stream, timeout="soon")
+
+
+def test_stream_of_a_users_handler(spark, tmp_path):
+    class Ints(Handler):
+        def __init__(self):
+            self.seen = []
+
+        def integer(self, value):
+            self.seen.append(value)
+            return "too_large" if value > 99 else None
+
+        def result(self):
+            return self.seen
+
+    folder = tmp_path / "in"
+    put(spark, folder, (1, 0, b"[1, 2", False), (2, 0, b"[5,100,", False))
+    put(spark, folder, (1, 1, b"3]", True), (2, 1, b"7]", True))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    from pyspark.sql import types as T
+
+    got = run(spark, stream_accumulate(stream, Ints, T.ArrayType(T.LongType())), tmp_path / "cp", "ints", availableNow=True)
+    assert sorted((r.id, r.ok, r.error, r.result) for r in got) == [(1, True, None, [1, 23]), (2, False, "too_large", [5, 100])]
+
+
+# sources, joins
+
+
+def test_files(spark):
+    path = fresh_path(spark, "files")
+    write_documents(frame(spark, '{"a":"é"}', "[1]").coalesce(1), "j", path)
+    assert sorted(r.text for r in read_lines(spark, path).collect()) == ["[1]", '{"a":"é"}']
+    whole = read_documents(spark, path + "/part-*").collect()
+    assert len(whole) == 1 and bytes(whole[0].text).decode() == '{"a":"é"}\n[1]\n'
+    cleanup(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_lines(spark, path).count()
+
+
+def test_joins(spark):
+    left = spark.createDataFrame([(1, 5, "l"), (1, 1, "l"), (2, 9, "l"), (None, 5, "l")], "k int, t int, side string")
+    right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (1, 5, "a"), (1, 6, "c"), (None, 1, "n")], "k int, t int, r string")
+    got = asof_join(left, right, "t", ["k"], ["r"])
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 1, "l", None), (1, 5, "l", "b"), (2, 9, "l", None), (None, 5, "l", "n")]
+    assert asof_join(left.limit(0), right, "t", ["k"], ["r"]).count() == 0
+    points = spark.createDataFrame([(0.0,), (2.5,), (7.0,), (None,)], "p double")
+    bands = spark.createDataFrame([("a", 0.0, 3.0), ("b", 2.5, 7.0), ("c", 4.0, 4.0), ("d", None, 9.0)], "n string, low double, high double")
+    assert sorted((r.p, r.n) for r in range_join(points, bands, "p", "low", "high", 2.0).collect()) == [(0.0, "a"), (2.5, "a"), (2.5, "b")]

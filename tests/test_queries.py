@@ -3,7 +3,7 @@
 import pytest
 from conftest import SMALL, rows_of
 
-from larkspur.plans.catalogue import ORACLES, QUERIES
+from larkspur.plans import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
