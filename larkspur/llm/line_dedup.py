@@ -19,8 +19,11 @@ Deletion-neighbourhood join, with hashed keys:
 4. The pairs found are verified by their edit distance on the texts.
 
 Counts of equal lines are summed before they are shuffled, so a line that a third of the documents share is no burden.
+Which lines and keys a later pass is to look at is told by Bloom filters of bounded size (``FILTER_BITS``), so texts need
+not be shuffled for it, at any size: where a filter is too small for the corpus more lines pass than need to, never fewer.
+Texts are shuffled once, to their removed lines at the end.
 
-Hashes of parts of lines are polynomials modulo the prime 2**61 - 1. They only find candidates, which are verified.
+Hashes of parts of lines are polynomials modulo two primes. They only find candidates, which are verified.
 
 Edge cases: a null or empty text is one empty line; documents without an id keep all their lines and take none from
 others; rows with one id and different texts are told apart; rows equal in id and text are one document, whose lines all
@@ -38,42 +41,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm._shared import small, written
+from larkspur.llm._shared import written
 from larkspur.llm._text import CHUNK, U, mix, texts
 
 MIN_CHARS = 20
 COARSE, FINE = 4, 16
 
-# polynomials modulo a prime
+#: Bits of the largest filter; smaller tables take 16 bits a key.
+FILTER_BITS = 26
+_SLICES = 16
 
-_P = (1 << 61) - 1
-_PRIME, _LOW = U(_P), U(0xFFFFFFFF)
-_BASE = 0x0F3C9A6B5D2E7181
+# polynomials modulo two primes
 
+_PRIMES = np.array([4294967291, 4294967279], dtype=U)
+_BASES = (0x6C8E9CF5, 0x9E3779B1)
+#: So many bytes can be summed up before a number is too large.
+_SAFE = 1 << 22
 
-def _mod(x: np.ndarray) -> np.ndarray:
-    x = (x & _PRIME) + (x >> U(61))
-    return np.where(x >= _PRIME, x - _PRIME, x)
 
-
-def _shifted(x: np.ndarray) -> np.ndarray:
-    """x * 2**32, below 2**62, for x below 2**61."""
-    return (x >> U(29)) + ((x & U((1 << 29) - 1)) << U(32))
-
-
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo the prime, for numbers below it."""
-    ah, al, bh, bl = a >> U(32), a & _LOW, b >> U(32), b & _LOW
-    with np.errstate(over="ignore"):
-        low = al * bl
-        return _mod(_shifted(_mod(al * bh + ah * bl)) + (((ah * bh) << U(3)) + (low & _PRIME) + (low >> U(61))))
-
-
-def _run(base: int, n: int) -> np.ndarray:
+def _run(base: int, prime: int, n: int) -> np.ndarray:
     """The powers 0, 1, ... of base."""
     out = np.ones(1, dtype=U)
     while len(out) < n:
-        out = np.concatenate([out, _times(out, np.full(len(out), pow(base, len(out), _P), dtype=U))])
+        out = np.concatenate([out, out * U(pow(base, len(out), prime)) % U(prime)])
     return out[:n]
 
 
@@ -81,21 +71,30 @@ _powers: list[np.ndarray] = []
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        _powers[:] = [_run(b, size) for b in (_BASE, pow(_BASE, -1, _P))]
-    return _powers[0][:n], _powers[1][:n]
+    """Powers of the bases and of their inverses, a row for each prime."""
+    if not _powers or _powers[0].shape[1] < n:
+        size, primes = max(n, CHUNK + 1), [int(p) for p in _PRIMES]
+        both = [(b, pow(b, -1, p), p) for b, p in zip(_BASES, primes, strict=True)]
+        _powers[:] = [np.stack([_run(x[k], x[2], size) for x in both]) for k in (0, 1)]
+    return _powers[0][:, :n], _powers[1][:, :n]
 
 
 def _totals(buf: np.ndarray, up: np.ndarray) -> np.ndarray:
-    """Sums of (byte + 1) * power up to each place, modulo the prime."""
+    """Sums of (byte + 1) * power up to each place, modulo each prime or not yet."""
+    out = np.zeros((2, len(buf) + 1), dtype=U)
     byte = buf.astype(U) + U(1)
-    each = _shifted(byte * (up >> U(32))) + byte * (up & _LOW)
-    out = np.zeros(len(buf) + 1, dtype=U)
-    out[1:] = _mod(_shifted(_mod(np.cumsum(each >> U(32)))) + _mod(np.cumsum(each & _LOW)))
+    for k in (0, 1):
+        each = byte * up[k]
+        if len(buf) > _SAFE:
+            each %= _PRIMES[k]
+        np.cumsum(each, out=out[k, 1:])
     return out
 
 
+def _one(x: np.ndarray) -> np.ndarray:
+    return (x[0] << U(32)) | x[1]
+
+
 class Lines:
     """Lines of some texts; ``first[d]:first[d+1]`` are those of text d. Offsets are bytes into ``buf``."""
 
@@ -112,6 +111,10 @@ class Lines:
         self.base = np.searchsorted(self.chars, self.start)
         self.count = np.searchsorted(self.chars, self.end) - self.base
 
+    def rough(self, lines: np.ndarray) -> np.ndarray:
+        """64 bits of each of some lines."""
+        return mix(_one(self.part(self.start[lines], self.end[lines])))
+
     def hashes(self, lines: np.ndarray) -> np.ndarray:
         """128 bits of each of some lines, as two numbers."""
         data, digest = self.buf.tobytes(), hashlib.blake2b
@@ -119,11 +122,12 @@ class Lines:
         return np.frombuffer(b"".join([digest(data[a:b], digest_size=16).digest() for a, b in cut]), np.int64).reshape(-1, 2)
 
     def part(self, a, b, to=None) -> np.ndarray:
-        """Polynomial of the bytes a..b, as if they began at 0, or at a - to."""
+        """Polynomials of the bytes a..b, as if they began at 0, or at a - to."""
         if self._total is None:
             up, self._down = _power(len(self.buf) + 1)
-            self._total = _totals(self.buf, up[:-1])
-        return _times(_mod(self._total[b] + (_PRIME - self._total[a])), self._down[a if to is None else to])
+            self._total = _totals(self.buf, up[:, :-1])
+        p = _PRIMES[:, None]
+        return (self._total[:, b] - self._total[:, a]) % p * self._down[:, a if to is None else to] % p
 
     def at(self, line, k) -> np.ndarray:
         """Byte offset of a line's character k; its end for the last and one more."""
@@ -134,8 +138,8 @@ class Lines:
     def coarse(self, line: np.ndarray, length: np.ndarray, block: int, blocks: int) -> np.ndarray:
         """Key of lines without one of some blocks, cut as for the given length."""
         a, b = block * length // blocks, (block + 1) * length // blocks
-        left = self.part(self.start[line], self.at(line, a))
-        right = self.part(self.at(line, self.count[line] - (length - b)), self.end[line])
+        left = _one(self.part(self.start[line], self.at(line, a)))
+        right = _one(self.part(self.at(line, self.count[line] - (length - b)), self.end[line]))
         with np.errstate(over="ignore"):
             return mix(mix(left) * U(3) + mix(right ^ U(0x5555)) * U(5) + (length.astype(U) * U(blocks) + U(block)) * U(0x9E3779B97F4A7C15))
 
@@ -147,19 +151,89 @@ class Lines:
         a, b = self.at(line, k), self.at(line, k + 1)
         left = self.part(self.start[line], a)
         right = self.part(b, self.end[line], self.start[line] + (b - a))
-        whole = mix(_mod(left + right))
+        whole = mix(_one((left + right) % _PRIMES[:, None]))
         if n > length:
             return whole, k, np.ones(len(k), np.int64)
-        own = mix(self.part(self.start[i : i + 1], self.end[i : i + 1]))
+        own = mix(_one(self.part(self.start[i : i + 1], self.end[i : i + 1])))
         return np.concatenate([whole, own]), np.concatenate([k, [-1]]), np.concatenate([np.ones(len(k), np.int64), [0]])
 
 
+# filters
+
+
+class Filter:
+    """A Bloom filter with two bits a key."""
+
+    def __init__(self, bits: int):
+        self.bits, self.table = bits, np.zeros(1 << (bits - 3), np.uint8)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        h, mask = mix(keys.view(U)), U((1 << self.bits) - 1)
+        return np.stack([h & mask, (h >> U(32)) & mask]).astype(np.int64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = self.places(keys)
+        return ((self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
+
+
+def _filter(rows: DataFrame, keys) -> Filter:
+    """A filter of keys(batch) of the rows of a written table; bits are joined in executors, slice by slice."""
+    n = rows.count()
+    out = Filter(min(FILTER_BITS, max(10, (16 * n).bit_length())))
+    width = len(out.table) * 8 // _SLICES
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(out.places(keys(b)))
+            for k, own in enumerate(np.split(at, np.searchsorted(at, width * np.arange(1, _SLICES)))):
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([(own - k * width).astype(np.uint32).tobytes()])], names=["slice", "at"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tables.setdefault(k, np.zeros(width, bool))[np.frombuffer(at, np.uint32)] = True
+        for k, t in tables.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(t, bitorder="little").tobytes()])], names=["slice", "at"])
+
+    schema = "slice long, at binary"
+    for r in rows.mapInArrow(mark, schema).repartition(_SLICES, "slice").mapInArrow(join, schema).collect():
+        out.table[r.slice * (width >> 3) : (r.slice + 1) * (width >> 3)] = np.frombuffer(r.at, np.uint8)
+    return out
+
+
+def _document(id_: np.ndarray, version: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(id_.view(U) * U(0x9E3779B97F4A7C15) + mix(version.view(U) + U(0x632BE59BD9B4E019)))
+
+
+def _place(document: np.ndarray, no: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(document + (no + 1).astype(U) * U(0xD1B54A32D192ED03))
+
+
+def _places(rows: DataFrame) -> Filter:
+    """A filter of the lines, and the documents, that rows (id, version, no) name."""
+
+    def keys(b: pa.RecordBatch) -> np.ndarray:
+        document = _document(b.column(0).to_numpy(), b.column(1).to_numpy())
+        return np.concatenate([document, _place(document, b.column(2).to_numpy())])
+
+    return _filter(rows, keys)
+
+
+def _numbers(rows: DataFrame) -> Filter:
+    return _filter(rows, lambda b: b.column(0).to_numpy())
+
+
 _KEY = ["id", "version"]
 
 
 def _rows(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """(id, version, body): version tells rows with one id and different texts apart."""
-    return docs.select(F.col(id_).cast("long").alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("body"))
+    rows = docs.select(F.col(id_).cast("long").alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("body"))
+    return rows.where("id IS NOT NULL")
 
 
 def _index(rows: DataFrame) -> DataFrame:
@@ -176,58 +250,67 @@ def _index(rows: DataFrame) -> DataFrame:
                 columns = [*(b.column(k).take(of) for k in (0, 1)), pa.array(no[some].astype(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1])]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "version", "no", "h", "g"])
 
-    return rows.where("id IS NOT NULL").mapInArrow(read, "id long, version long, no long, h long, g long")
+    return rows.mapInArrow(read, "id long, version long, no long, h long, g long")
 
 
-def _keys(rows: DataFrame, blocks: int, min_chars: int, want: DataFrame | None = None) -> DataFrame:
-    """Rows (key, h): keys of the lines, with one of some blocks left out. want: (id, version, h) of the only lines to take."""
+def _chosen(batch: pa.RecordBatch, places: Filter | None, min_chars: int) -> Iterator[tuple[Lines, np.ndarray]]:
+    """Lines of runs of texts, and which of them are long enough and among the places."""
+    if places is not None:
+        document = _document(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        batch = batch.filter(pa.array(places.has(document)))
+    if not batch.num_rows:
+        return
+    document = _document(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+    for row, buf, off in texts(batch.column(2)):
+        x = Lines(buf, off)
+        some = np.flatnonzero((x.count >= max(1, min_chars)) & (x.end > x.start))
+        if places is not None:
+            doc = np.searchsorted(x.first, some, "right") - 1
+            some = some[places.has(_place(document[row + doc], some - x.first[doc]))]
+        yield x, some
 
-    chosen = want is not None
+
+def _keys(rows: DataFrame, blocks: int, min_chars: int, places: Filter | None = None, met: Filter | None = None) -> DataFrame:
+    """Rows (key, h): keys of the lines (of some places; those that a filter has), with one of some blocks left out.
+
+    h is rough unless there are places or keys to look for.
+    """
+    held = rows.sparkSession.sparkContext.broadcast((places, met))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, met = held.value
         for b in batches:
-            wanted = b.column(1) if chosen else None
-            for row, buf, off in texts(b.column(0)):
-                x = Lines(buf, off)
-                some = np.flatnonzero((x.count >= max(1, min_chars)) & (x.end > x.start))
-                h = x.hashes(some)[:, 0]
-                if wanted is not None:
-                    doc = np.searchsorted(x.first, some, "right") - 1
-                    part = wanted.slice(row, len(off) - 1)
-                    of = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
-                    # one number of document and hash: one line too many does no harm
-                    with np.errstate(over="ignore"):
-                        one = [mix(v.view(U) + d.astype(U) * U(0x9E3779B97F4A7C15)) for v, d in ((h, doc), (part.flatten().to_numpy(), of))]
-                    take = np.isin(*one)
-                    some, h = some[take], h[take]
+            for x, some in _chosen(b, places, min_chars):
                 keys, lines = [], []
                 for less in (0, 1):
-                    long = x.count[some] >= max(1, min_chars) + less
-                    line = some[long]
+                    line = some[x.count[some] >= max(1, min_chars) + less]
                     for block in range(blocks):
                         keys.append(x.coarse(line, x.count[line] - less, block, blocks))
-                        lines.append(h[long])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (keys, lines)], names=["key", "h"])
-
-    rows = rows.where("id IS NOT NULL")
-    if chosen:
-        per = written(want.groupBy(*_KEY).agg(F.collect_set("h").alias("want")), "wanted")
-        rows = rows.join(small(per), _KEY).select("body", "want")
-    else:
-        rows = rows.select("body")
+                        lines.append(line)
+                keys, lines = np.concatenate(keys), np.concatenate(lines)
+                if met is not None:
+                    own = met.has(keys)
+                    keys, lines = keys[own], lines[own]
+                if places is None and met is None:
+                    h = x.rough(lines).view(np.int64)
+                else:
+                    each, of = np.unique(lines, return_inverse=True)
+                    h = x.hashes(each)[:, 0][of]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h)], names=["key", "h"])
+
     return rows.mapInArrow(read, "key long, h long")
 
 
 def _met(keys: DataFrame) -> DataFrame:
-    """Rows (key, h) of the keys that different lines have."""
-    met = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
-    return keys.join(small(written(met, "met")), "key")
+    """The keys that different lines have."""
+    return keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
 
 
-def _emit(rows: DataFrame, want: DataFrame, min_chars: int) -> DataFrame:
-    """Rows (h, g, line, v, kind) of the wanted lines: want has (id, version, h, keys), the fine keys another line has too."""
+def _emit(rows: DataFrame, places: Filter, met: Filter, min_chars: int) -> DataFrame:
+    """Rows (h, g, line, v, kind) of the lines at some places: variants in the blocks whose fine keys are met."""
+    held = rows.sparkSession.sparkContext.broadcast((places, met))
 
-    def variants(x: Lines, i: int, keys: set[int]) -> tuple[np.ndarray, np.ndarray] | None:
+    def variants(x: Lines, i: int, met: Filter) -> tuple[np.ndarray, np.ndarray] | None:
         """Keys of the variants and their kinds: 0 a replacement at a place, 1 the longer line of an insertion, 2 the shorter."""
         parts = []
         for less in (0, 1):
@@ -235,7 +318,8 @@ def _emit(rows: DataFrame, want: DataFrame, min_chars: int) -> DataFrame:
             if length < max(1, min_chars):
                 continue
             one, n = np.array([i]), np.array([length])
-            parts += [x.variants(i, length, k) for k in range(FINE) if int(x.coarse(one, n, k, FINE)[0]) in keys]
+            own = met.has(np.concatenate([x.coarse(one, n, k, FINE) for k in range(FINE)]))
+            parts += [x.variants(i, length, int(k)) for k in np.flatnonzero(own)]
         if not parts:
             return None
         v, k, one = (np.concatenate(p) for p in zip(*parts, strict=True))
@@ -246,30 +330,21 @@ def _emit(rows: DataFrame, want: DataFrame, min_chars: int) -> DataFrame:
         return every[:, 0], every[:, 1]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, met = held.value
         for b in batches:
-            wanted = b.column(1).to_pylist()
-            for row, buf, off in texts(b.column(0)):
-                x = Lines(buf, off)
-                some = np.flatnonzero((x.count >= max(1, min_chars)) & (x.end > x.start))
-                out, seen = [], set()
-                doc = np.searchsorted(x.first, some, "right") - 1
-                keys = [{w["h"]: {k & 0xFFFFFFFFFFFFFFFF for k in w["keys"]} for w in wanted[row + d]} for d in range(len(off) - 1)]
-                for i, d, (h, g) in zip(some.tolist(), doc.tolist(), x.hashes(some).tolist(), strict=True):
-                    if h not in keys[d] or (d, h, g) in seen:
-                        continue
-                    seen.add((d, h, g))
-                    got = variants(x, i, keys[d][h])
+            for x, some in _chosen(b, places, min_chars):
+                out = []
+                for i, (h, g) in zip(some.tolist(), x.hashes(some).tolist(), strict=True):
+                    got = variants(x, i, met)
                     if got is not None:
-                        out.append((h, g, buf[x.start[i] : x.end[i]].tobytes().decode(), *got))
+                        out.append((h, g, x.buf[x.start[i] : x.end[i]].tobytes().decode(), *got))
                 where = np.concatenate([[0], np.cumsum([len(o[3]) for o in out])]).astype(np.int32)
                 flat = lambda k: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64)
                 lists = [pa.ListArray.from_arrays(pa.array(where), pa.array(flat(k))) for k in (3, 4)]
                 own = [pa.array([o[k] for o in out], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))]
                 yield pa.RecordBatch.from_arrays([*own, *lists], names=["h", "g", "line", "v", "kind"])
 
-    per = written(want.groupBy(*_KEY).agg(F.collect_list(F.struct("h", "keys")).alias("want")), "wanted")
-    each = rows.join(small(per), _KEY).select("body", "want")
-    return each.mapInArrow(read, "h long, g long, line string, v array<long>, kind array<long>")
+    return rows.mapInArrow(read, "h long, g long, line string, v array<long>, kind array<long>")
 
 
 def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -279,12 +354,14 @@ def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", min_
     # per distinct line its earliest place
     lines = index.groupBy(*line).agg(F.min(F.struct(*_KEY, "no", *line)).alias("at"), F.count("*").alias("n"))
     lines = written(lines, "distinct")
-    some = written(_met(_keys(rows, COARSE, min_chars)).select("h").distinct(), "some")
-    some = written(lines.join(some, "h", "left_semi").select("at.*", "at"), "places")
-    fine = written(_keys(rows, FINE, min_chars, some.select(*_KEY, "h")), "fine")
-    near = _met(fine).groupBy("h").agg(F.collect_set("key").alias("keys"))
-    want = written(near.join(some, "h").select(*_KEY, "h", "keys"), "want")
-    emitted = written(_emit(rows, want, min_chars).dropDuplicates(line), "variants")
+    met = written(_met(_keys(rows, COARSE, min_chars)), "met")
+    found = _keys(rows, COARSE, min_chars, met=_numbers(met)).join(met, "key").select("h").distinct()
+    some = written(lines.join(found, "h", "left_semi").select("at.*", "at"), "places")
+    fine = written(_keys(rows, FINE, min_chars, _places(some.select(*_KEY, "no"))), "fine")
+    met = written(_met(fine), "met")
+    near = written(some.join(fine.join(met, "key").select("h").distinct(), "h", "left_semi").select(*_KEY, "no"), "near")
+    emitted = _emit(rows, _places(near), _numbers(met), min_chars)
+    emitted = written(emitted.dropDuplicates(line), "variants")
     each = emitted.select(*line, F.explode(F.arrays_zip("v", "kind")).alias("x")).select(*line, "x.v", "x.kind")
     each = each.join(some.select(*line, "at"), line)
     group = Window.partitionBy("v", F.expr("kind > 0"))
@@ -296,7 +373,7 @@ def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", min_
     close = written(pairs.where(F.levenshtein("line", "other", 1).between(0, 1)).select(*line).distinct(), "close")
     again = lines.where("n > 1").select(*line, "at").join(close.withColumn("all", F.lit(True)), line, "full")
     again = written(again.select(*line, F.when(F.col("all").isNull(), F.col("at")).alias("keep")), "again")
-    gone = index.join(small(again), line)
+    gone = index.join(again, line)
     other = "keep IS NULL OR id <> keep.id OR version <> keep.version OR no <> keep.no"
     return gone.where(other).select(*_KEY, "no")
 
@@ -305,7 +382,7 @@ def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", min_ch
     """docs with its text's removed lines left out, and ``n_lines`` and ``n_kept``."""
     gone = removed_lines(docs, id_, text, min_chars).groupBy(*_KEY).agg(F.collect_set("no").alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_).cast("long").alias("id"), F.xxhash64(text).alias("version"))
-    rows = rows.join(small(written(gone, "removed")), _KEY, "left")
+    rows = rows.join(written(gone, "removed"), _KEY, "left")
     rows = rows.withColumn("lines", F.split(F.coalesce(f"row.`{text}`", F.lit("")), "\n"))
     stays = F.filter("lines", lambda _, i: ~F.array_contains("gone", i.cast("long")))
     rows = rows.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stays))

@@ -343,8 +343,9 @@ def brute_lines(rows, least=line_dedup.MIN_CHARS):
     return out
 
 
-@pytest.mark.parametrize("least", [line_dedup.MIN_CHARS, 0, 3])
-def test_line_dedup(spark, least):
+@pytest.mark.parametrize(("least", "bits"), [(line_dedup.MIN_CHARS, 26), (0, 26), (3, 10)])
+def test_line_dedup(spark, monkeypatch, least, bits):
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
     a, r, rows = "a line of some length, é ü", np.random.RandomState(1), []
     edits = [a, a[:5] + a[6:], a[:5] + "X" + a[5:], a[:5] + "X" + a[6:], a[:5] + "Xy" + a[6:], a.replace("é", "e"), a + "!", a[1:], a[:-1], "short", "shorx", "", a * 30, a * 30 + "?", a * 29 + a[:-1], "1", "2", "12", "ab", "é"]
     for i in range(40):
@@ -368,16 +369,37 @@ def test_line_dedup_of_repeated_rows_and_clashing_columns(spark):
 
 
 def test_prime_arithmetic():
-    r, p = np.random.RandomState(0), (1 << 61) - 1
-    a, b = (r.randint(0, 1 << 61, 5000, dtype=np.int64).astype(np.uint64) % np.uint64(p) for _ in range(2))
-    a[:4] = b[:4] = [0, 1, p - 1, p - 2]
-    assert line_dedup._times(a, b).tolist() == [x * y % p for x, y in zip(a.tolist(), b.tolist(), strict=True)]
     up, down = line_dedup._power(300)
-    data = r.randint(0, 256, 299).astype(np.uint8)
-    sums = [0]
-    for k, x in enumerate(data.tolist()):
-        sums.append((sums[-1] + (x + 1) * pow(line_dedup._BASE, k, p)) % p)
-    assert line_dedup._totals(data, up[:-1]).tolist() == sums and set(line_dedup._times(up, down).tolist()) == {1}
+    data = np.random.RandomState(0).randint(0, 256, 299).astype(np.uint8)
+    total = line_dedup._totals(data, up[:, :-1])
+    for k, (base, p) in enumerate(zip(line_dedup._BASES, line_dedup._PRIMES.tolist(), strict=True)):
+        sums = [0]
+        for j, x in enumerate(data.tolist()):
+            sums.append((sums[-1] + (x + 1) * pow(base, j, p)) % p)
+        assert (total[k] % np.uint64(p)).tolist() == sums and set((up[k] * down[k] % np.uint64(p)).tolist()) == {1}
+        assert all(p % q for q in range(2, 65536))
+    line = line_dedup.Lines(data, np.array([0, 299]))
+    big = line_dedup._SAFE
+    try:
+        line_dedup._SAFE = 10
+        same = line_dedup.Lines(data, np.array([0, 299]))
+        assert (line.part(np.array([5]), np.array([200])) == same.part(np.array([5]), np.array([200]))).all()
+    finally:
+        line_dedup._SAFE = big
+
+
+def test_filters(spark):
+    r = np.random.RandomState(0)
+    keys = r.randint(-(1 << 63), (1 << 63) - 1, 20_000, dtype=np.int64)
+    for n in (0, 1, 5000):
+        f = line_dedup._numbers(spark.createDataFrame([(int(k),) for k in keys[:n]], "k long").repartition(3))
+        assert f.has(keys[:n]).all() and f.has(keys[5000:]).mean() < 0.03
+    bits = line_dedup.FILTER_BITS
+    try:
+        line_dedup.FILTER_BITS = 10  # far too small: everything passes, nothing is lost
+        assert line_dedup._numbers(spark.createDataFrame([(int(k),) for k in keys[:5000]], "k long")).has(keys).all()
+    finally:
+        line_dedup.FILTER_BITS = bits
 
 
 # 6
