@@ -11,16 +11,18 @@ How the work is dealt out, all of it without loss:
    linked documents must share ``need`` of them. Equal sets become one class, which has a number of its own and knows
    its smallest id.
 3. Classes with fewer than ``need`` of these shingles in common with any others link with nothing. The rest are looked
-   at by layers of size, so wide that linked sets share a layer; each set is in two. There the same is asked again,
-   twice, and the rest are tied to the smallest class of each shared list (one row per list entry, no pairs), and so
-   fall into candidate components.
-4. The sets of what remains are computed again and dealt out by candidate component; large components are cut into
-   blocks of bounded size, each pair of blocks being one group. In a group the search above finds links between classes
-   not yet connected there.
-5. The links' connected components are the result.
-
-No list, group of copies or component is ever held by one task as a whole. The work of step 4 grows with the square of
-a candidate component's size divided by the block size: components of near copies that differ in text are the costly case.
+   at by layers of size, so wide that linked sets share a layer; each set is in two. There the same is asked again, twice.
+4. The sets of what remains are computed again. Each is held against one other, the pivot (the first class) of most of
+   its lists; what links so gets a common label, which takes most groups of near copies out of the way: lists all of
+   whose entries have one label are done.
+5. The rest is tied to the first class of each shared list (one row per list entry, no pairs), and so falls into
+   candidate components. These are dealt out in groups of bounded size: small ones share groups; large ones are dealt list
+   by list, or, if that has more entries, cut into blocks, each pair of blocks being one group. In a group the search
+   above finds links between classes not yet connected there.
+6. The links' connected components are the result.
+
+No list, group of copies or component is ever held by one task as a whole. The work of step 5 grows with the square of
+a list's, or a large component's, size divided by the block size, for what is left of them after step 4.
 
 Edge cases: a null or empty text has an empty set and links with nothing; a text of fewer words has its whole sequence
 as its only shingle; each of several rows with one id is judged by its own text, so these may have different components
@@ -45,6 +47,8 @@ SKETCH_BITS = 20
 _SLICES = 16
 #: Shingles held by a group at once (twice as many for a pair of blocks).
 BLOCK = 400_000
+#: Sets that are held against one pivot in one go.
+PORTION = 1000
 #: Weight of a long list's length in the choice of how many lists are long.
 MU = 0.01
 
@@ -196,9 +200,11 @@ class Search:
                 counts.append(1)
         return np.array(ids, dtype=np.int64), np.array(counts, dtype=np.int64)
 
-    def links(self, side: np.ndarray) -> list[tuple[int, int]]:
-        """Links that connect all that is linked; only sets of different sides are compared, unless all sides are equal."""
-        out, label, one = [], np.arange(self.n), self.n == 0 or bool((side == side[0]).all())
+    def links(self, side: np.ndarray, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Links that connect all that is linked, but for what has one label already; only sets of different sides are
+        compared, unless all sides are equal."""
+        label = np.arange(self.n) if label is None else label.copy()
+        out, one = [], self.n == 0 or bool((side == side[0]).all())
         for q in range(self.n):
             n = int(self.sizes[q])
             low = int(np.searchsorted(self.sizes, self.bound.least(n)))
@@ -252,7 +258,8 @@ def _find(bound: Bound):
         tokens = table["tokens"].chunk(0) if table["tokens"].num_chunks else pa.array([], pa.list_(pa.int64()))
         off, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
         order = np.lexsort((ids, np.diff(off)))
-        links = Search([flat[off[i] : off[i + 1]] for i in order], bound).links(side[order])
+        _, label = np.unique(table["label"].to_numpy(), return_inverse=True)
+        links = Search([flat[off[i] : off[i + 1]] for i in order], bound).links(side[order], label[order])
         a = ids[order][[x for x, _ in links]] if links else np.zeros(0, np.int64)
         b = ids[order][[y for _, y in links]] if links else np.zeros(0, np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -260,6 +267,50 @@ def _find(bound: Bound):
     return find
 
 
+def _stars(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets and the pivot that each shares most lists with.
+
+    A pivot of many sets is joined with them in portions of ``PORTION``.
+    """
+    per = posts.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("c"))
+    best = written(per.groupBy("id").agg(F.max(F.struct("c", F.negative("pivot").alias("p"))).alias("m")).select("id", F.negative("m.p").alias("pivot")), "pivots")
+    load = best.groupBy("pivot").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
+    mine = best.join(load, "pivot").select("id", "pivot", F.pmod(F.xxhash64("id"), F.col("portions")).cast("int").alias("portion"))
+    theirs = sets.withColumnsRenamed({"id": "pivot", "tokens": "other"}).join(load, "pivot")
+    theirs = theirs.withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1))).drop("portions")
+    pairs = mine.join(theirs, ["pivot", "portion"]).join(sets, "id")
+    both = F.size(F.array_intersect("tokens", "other"))
+    return pairs.where((100 + percent) * both >= percent * (F.size("tokens") + F.size("other"))).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+
+
+def _dealt(posts: DataFrame, block: int) -> DataFrame:
+    """Rows (id, label, side, bucket, x, y): the groups in which each set is compared.
+
+    A unit is a candidate component, or, where that is large and its lists have fewer entries in all than its blocks would
+    make, each list of its own. Small units share buckets; large ones are cut into blocks, a group being a pair of these.
+    """
+    node = lambda c: F.xxhash64(c, "layer")  # noqa: E731  one that stands for two merges their components, which does no harm
+    near = components(posts.select(node("id").alias("a"), node("pivot").alias("b"))).withColumnRenamed("id", "node")
+    each = posts.groupBy("id", "layer").agg(F.min("n").alias("n"), F.count("*").alias("lists"), F.min("label").alias("label"))
+    near = written(near.join(each.withColumn("node", node("id")), "node"), "near")
+    blocks = F.ceil(F.sum("n") / block)
+    by_list = (blocks > 1) & (F.sum(F.col("lists") * F.col("n")) < blocks * F.sum("n"))
+    kind = near.groupBy("component").agg(blocks.cast("int").alias("blocks"), by_list.alias("by_list"))
+    near = written(near.join(kind, "component").select("id", "layer", "n", "label", "component", "blocks", "by_list"), "candidates")
+    whole = near.where("NOT by_list").select("id", "n", "label", F.col("component").alias("unit"), "blocks")
+    parts = posts.join(near.where("by_list").select("id", "layer"), ["id", "layer"], "left_semi")
+    parts = parts.select("id", "n", "label", F.xxhash64("token", "layer").alias("unit"))
+    large = parts.groupBy("unit").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    units = whole.unionByName(parts.join(large, "unit").select("id", "n", "label", "unit", "blocks"))
+    total = units.agg(F.sum("n")).first()[0] or 0
+    single = F.col("blocks") == 1
+    units = units.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bucket = F.when(single, F.pmod(F.xxhash64("unit"), F.lit(int(total // block) + 1))).otherwise(F.col("unit"))
+    x, y = F.when(single, -1).otherwise(F.least("side", "other")), F.greatest("side", "other")
+    return units.select("id", "label", "side", bucket.alias("bucket"), x.alias("x"), y.alias("y")).distinct()
+
+
 def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """Rows ``(id, version, n_shingles, group, component)``, one for each row of docs; ids are integers.
 
@@ -283,29 +334,20 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
         hits = posts.drop("pivot").join(shared, ["token", "layer"])
         alive = hits.groupBy("id", "layer").agg(enough.alias("ok")).where("ok").select("id", "layer")
         posts = written(hits.join(alive, ["id", "layer"], "left_semi"), "hits")
-    node = lambda c: F.xxhash64(c, "layer")  # noqa: E731  one that stands for two merges their components, which does no harm
-    alive = posts.groupBy("id", "layer").agg(F.min("n").alias("n")).withColumn("node", node("id"))
-    near = components(posts.select(node("id").alias("a"), node("pivot").alias("b")))
-    near = near.withColumnRenamed("id", "node").join(alive, "node")
-    size = near.groupBy("component").agg(F.sum("n").alias("size"))
-    near = written(near.join(size, "component").select("id", "n", "component", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "candidates")
-    total = near.agg(F.sum("n")).first()[0] or 0
-    buckets = int(total // block) + 1
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    chosen = classes.join(small(near.select(F.col("id").alias("class")).distinct()), "class", "left_semi")
-    chosen = written(chosen.select("id", "k1", "k2", "class"), "chosen")
-    # of several rows with one id all come along; two rows of one class do no harm in a group
+    chosen = classes.select("id", "k1", "k2", "class").join(posts.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
+    chosen = written(chosen, "chosen")
+    # of several rows with one id all come along; two rows of one class do no harm
     held = _sets(_rows(docs, id_, text).join(small(chosen.select("id").distinct()), "id", "left_semi"), words)
-    held = held.join(chosen.select("k1", "k2", F.col("class").alias("id")), ["k1", "k2"])
-    dealt = (
-        held.join(near.drop("n"), "id")
-        .withColumn("side", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")))
-        .withColumn("x", F.when(F.col("blocks") == 1, -1).otherwise(F.least("side", "other")))
-        .withColumn("y", F.greatest("side", "other"))
-    )
-    links = written(dealt.select("id", "tokens", "side", "bucket", "x", "y").groupBy("bucket", "x", "y").applyInArrow(_find(bound), "a long, b long"), "links")
+    held = written(held.join(chosen.select("k1", "k2", F.col("class").alias("id")), ["k1", "k2"]).select("id", "tokens"), "sets")
+    stars = written(_stars(posts, held, percent), "stars")
+    labels = components(stars).withColumnRenamed("component", "label")
+    posts = posts.drop("pivot").join(written(labels, "labels"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    shared = posts.groupBy("token", "layer").agg(F.min("id").alias("pivot"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
+    posts = posts.join(shared.drop("a", "b"), ["token", "layer"])
+    posts = written(posts.join(posts.groupBy("id", "layer").agg(enough.alias("ok")).where("ok").select("id", "layer"), ["id", "layer"], "left_semi"), "hits")
+    dealt = written(_dealt(posts, block), "dealt").join(held, "id")
+    links = dealt.select("id", "label", "tokens", "side", "bucket", "x", "y").groupBy("bucket", "x", "y").applyInArrow(_find(bound), "a long, b long")
+    links = written(links.unionByName(stars), "links")
     found = components(links).withColumnRenamed("id", "class").join(classes.select("class", "id"), "class")
     first = found.groupBy("component").agg(F.min("id").alias("first"))
     found = written(found.join(first, "component").select("class", "component", "first"), "components")

@@ -125,6 +125,45 @@ def test_url_model_fits_like_plain_gradient_descent(spark):
     assert ((x @ w + b > 0) == (y == 1)).mean() > 0.95
 
 
+def test_url_query_by_hand(spark):
+    """Every page again in Python: host, path, rule, n-grams (hashed by another library), fit and verdict."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    seed = {k: xxhash.xxh64_intdigest(k.encode(), 42) for k in ("host", "path")}
+
+    def cut(url):
+        rest = url.partition("://")[2] if url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+    def grams(host, path):
+        if not host and not path:
+            return set()
+        every = ((k, f"^{t}$"[i : i + n]) for k, t, ns in (("host", host, (3, 4, 5)), ("path", path, (2, 3))) for n in ns for i in range(len(t) + 3 - n))
+        return {signed(xxhash.xxh64_intdigest(g.encode(), seed[k])) % url_filter.BUCKETS for k, g in every}
+
+    def row(url):
+        x, f = np.zeros(url_filter.BUCKETS), sorted(grams(*cut(url)))
+        x[f] = 1 / np.sqrt(max(1, len(f)))
+        return x
+
+    x, y = np.stack([row(u) for _, u in url_filter.LABELLED]), np.array([v for v, _ in url_filter.LABELLED], float)
+    w, b = np.zeros(url_filter.BUCKETS), 0.0
+    for _ in range(url_filter.STEPS):
+        e = (y - 1 / (1 + np.exp(-(x @ w + b)))) / len(y)
+        w, b = w * (1 - url_filter.RATE * url_filter.RIDGE) + url_filter.RATE * x.T @ e, b + url_filter.RATE * e.sum()
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url").collect()}
+    got = QUERIES["op1_url_filters"](spark, SMALL).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        host, path = cut(pages[r.page_id])
+        fit = [(len(rule), rule, v) for v, rule in url_filter.RULES if (host == rule.split("/")[0] or host.endswith("." + rule.split("/")[0])) and path.startswith(rule[rule.index("/") :])]
+        score = 1 / (1 + np.exp(-(row(pages[r.page_id]) @ w + b)))
+        _, rule, verdict = max(fit, default=(0, None, "block" if score > 0.5 else "allow"))
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict) and abs(r.score - score) < 1e-9
+
+
 # 2
 
 
