@@ -143,19 +143,18 @@ class Lines:
         with np.errstate(over="ignore"):
             return mix(mix(left) * U(3) + mix(right ^ U(0x5555)) * U(5) + (length.astype(U) * U(blocks) + U(block)) * U(0x9E3779B97F4A7C15))
 
-    def variants(self, i: int, length: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(string's key, place, 1 if a character is left out) of one line, for the edits inside one of FINE blocks."""
-        n = int(self.count[i])
-        k = np.arange(block * length // FINE, (block + 1) * length // FINE + (n - length))
-        line = np.full(len(k), i)
-        a, b = self.at(line, k), self.at(line, k + 1)
-        left = self.part(self.start[line], a)
-        right = self.part(b, self.end[line], self.start[line] + (b - a))
-        whole = mix(_one((left + right) % _PRIMES[:, None]))
-        if n > length:
-            return whole, k, np.ones(len(k), np.int64)
-        own = mix(_one(self.part(self.start[i : i + 1], self.end[i : i + 1])))
-        return np.concatenate([whole, own]), np.concatenate([k, [-1]]), np.concatenate([np.ones(len(k), np.int64), [0]])
+    def variants(self, line: np.ndarray, less: int, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(entry, string's key, place) of lines without a character, for the edits inside one of FINE blocks of each."""
+        length = self.count[line] - less
+        low = block * length // FINE
+        n = (block + 1) * length // FINE + less - low
+        entry = np.repeat(np.arange(len(line)), n)
+        k = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + low[entry]
+        of = line[entry]
+        a, b = self.at(of, k), self.at(of, k + 1)
+        left = self.part(self.start[of], a)
+        right = self.part(b, self.end[of], self.start[of] + (b - a))
+        return entry, mix(_one((left + right) % _PRIMES[:, None])), k
 
 
 # filters
@@ -310,39 +309,37 @@ def _emit(rows: DataFrame, places: Filter, met: Filter, min_chars: int) -> DataF
     """Rows (h, g, line, v, kind) of the lines at some places: variants in the blocks whose fine keys are met."""
     held = rows.sparkSession.sparkContext.broadcast((places, met))
 
-    def variants(x: Lines, i: int, met: Filter) -> tuple[np.ndarray, np.ndarray] | None:
-        """Keys of the variants and their kinds: 0 a replacement at a place, 1 the longer line of an insertion, 2 the shorter."""
-        parts = []
+    def variants(x: Lines, some: np.ndarray, met: Filter) -> np.ndarray:
+        """Rows (line, key, kind) in order: 0 a replacement at a place, 1 the longer line of an insertion, 2 the shorter."""
+        out = [np.zeros((0, 3), np.int64)]
         for less in (0, 1):
-            length = int(x.count[i]) - less
-            if length < max(1, min_chars):
-                continue
-            one, n = np.array([i]), np.array([length])
-            own = met.has(np.concatenate([x.coarse(one, n, k, FINE) for k in range(FINE)]))
-            parts += [x.variants(i, length, int(k)) for k in np.flatnonzero(own)]
-        if not parts:
-            return None
-        v, k, one = (np.concatenate(p) for p in zip(*parts, strict=True))
-        with np.errstate(over="ignore"):
-            replaced = mix(v + (k + 2).astype(U) * U(0xD1B54A32D192ED03))[one == 1]
-        kind = np.concatenate([np.zeros(len(replaced), np.int64), np.where(one == 1, 1, 2)])
-        every = np.unique(np.stack([np.concatenate([replaced, v]).view(np.int64), kind], 1), axis=0)
-        return every[:, 0], every[:, 1]
+            line = some[x.count[some] - less >= max(1, min_chars)]
+            own = np.stack([met.has(x.coarse(line, x.count[line] - less, k, FINE)) for k in range(FINE)], 1)
+            at, block = np.nonzero(own)
+            entry, v, k = x.variants(line[at], less, block)
+            with np.errstate(over="ignore"):
+                replaced = mix(v + (k + 2).astype(U) * U(0xD1B54A32D192ED03))
+            parts = [(line[at][entry], replaced, 0), (line[at][entry], v, 1)]
+            if not less:
+                whole = line[own.any(1)]
+                parts.append((whole, x.rough(whole), 2))
+            out += [np.stack([i, key.view(np.int64), np.full(len(i), kind)], 1) for i, key, kind in parts]
+        every = np.concatenate(out)
+        every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+        return every[np.concatenate([[True], (every[1:] != every[:-1]).any(1)])] if len(every) else every
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, met = held.value
         for b in batches:
             for x, some in _chosen(b, places, min_chars):
-                out = []
-                for i, (h, g) in zip(some.tolist(), x.hashes(some).tolist(), strict=True):
-                    got = variants(x, i, met)
-                    if got is not None:
-                        out.append((h, g, x.buf[x.start[i] : x.end[i]].tobytes().decode(), *got))
-                where = np.concatenate([[0], np.cumsum([len(o[3]) for o in out])]).astype(np.int32)
-                flat = lambda k: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(where), pa.array(flat(k))) for k in (3, 4)]
-                own = [pa.array([o[k] for o in out], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))]
-                yield pa.RecordBatch.from_arrays([*own, *lists], names=["h", "g", "line", "v", "kind"])
+                every = variants(x, some, met)
+                line, first = np.unique(every[:, 0], return_index=True)
+                h = x.hashes(line)
+                where = pa.array(np.append(first, len(every)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(where, pa.array(np.ascontiguousarray(every[:, k]))) for k in (1, 2)]
+                cut = zip(x.start[line].tolist(), x.end[line].tolist(), strict=True)
+                text = pa.array([x.buf[a:b].tobytes().decode() for a, b in cut], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), text, *lists], names=["h", "g", "line", "v", "kind"])
 
     return rows.mapInArrow(read, "h long, g long, line string, v array<long>, kind array<long>")
 
