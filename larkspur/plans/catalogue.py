@@ -119,7 +119,8 @@ def string_too_long_docs(spark, sf):
     return out.select("doc_id", "r.ok", F.col("r.err.name").alias("error"))
 
 
-@query("""SELECT 'begin_object' AS event, count(*) AS n FROM orders UNION ALL SELECT 'end_object', count(*) FROM orders UNION ALL SELECT 'key', 6 * count(*) FROM orders
+@query("""SELECT 'begin_object' AS event, count(*) AS n FROM orders UNION ALL SELECT 'end_object', count(*)
+  FROM orders UNION ALL SELECT 'key', 6 * count(*) FROM orders
   UNION ALL SELECT 'string', 3 * count(*) FROM orders
   UNION ALL SELECT 'integer', 2 * count(*) + count(*) FILTER (abs(o_totalprice - trunc(o_totalprice)) < 2.842170943040401e-14) FROM orders
   UNION ALL SELECT 'float', count(*) FILTER (abs(o_totalprice - trunc(o_totalprice)) >= 2.842170943040401e-14) FROM orders""")
@@ -132,7 +133,9 @@ def events_histogram(spark, sf):
 
 
 @query("""WITH e(seq, event, key) AS (VALUES (0, 'begin_object', NULL), (1, 'key', 'n_nationkey'), (2, 'integer', NULL), (3, 'key', 'n_name'), (4, 'string', NULL), (5, 'key', 'n_regionkey'), (6, 'integer', NULL), (7, 'end_object', NULL))
-  SELECT n_nationkey, seq, event, key, CASE seq WHEN 4 THEN n_name END AS str, CASE seq WHEN 2 THEN CAST(n_nationkey AS BIGINT) WHEN 6 THEN CAST(n_regionkey AS BIGINT) ELSE -1 END AS i, CASE WHEN seq IN (0, 7) THEN 0 ELSE 1 END AS depth FROM nation, e""")
+  SELECT n_nationkey, seq, event, key, CASE seq WHEN 4 THEN n_name END AS str, CASE seq WHEN 2 THEN
+  CAST(n_nationkey AS BIGINT) WHEN 6 THEN CAST(n_regionkey AS BIGINT) ELSE -1 END AS i, CASE WHEN seq IN (0, 7) THEN 0 ELSE 1 END AS depth
+  FROM nation, e""")
 def event_sequence(spark, sf):
     df = table(spark, sf, "nation")
     got = json_events(df.select("n_nationkey", as_json(df).alias("j")), "n_nationkey", "j", WIDE)
@@ -320,23 +323,36 @@ def whitespace_variants(spark, sf):
 #: GOLDEN: (text, policy, error or None, tokens). The SQL restates these rows.
 GOLDEN = {
     "number_cases": [
-        ("0", Policy(), None, "0"), ("-0", Policy(), None, "0"), (" 1 ", Policy(), None, "1"), ("1234567890", Policy(), None, "1234567890"), ("01", Policy(), "unexpected_extra_input", "0"),
-        ("-01", Policy(), "unexpected_extra_input", "0"), ("+1", Policy(), "expected_token", ""), (".1234", Policy(), "expected_token", ""), ("-", Policy(), "expected_digits", ""), ("--", Policy(), "unrecognized_token", ""),
-        ("1Ex", Policy(), "unrecognized_token", ""), ("1..", Policy(), "unrecognized_token", ""), ("1.E", Policy(), "unrecognized_token", ""), ("3.1415", Policy(), None, "3.1415"), ("-0.45", Policy(), None, "-0.45"),
-        ("0e2", Policy(), None, "0"), ("1e2", Policy(), None, "100"), ("1e+2", Policy(), None, "100"), ("1E-02", Policy(), None, "0.01"), ("123123e100000", Policy(), "number_out_of_range", ""),
-        ("9999E999", Policy(), "number_out_of_range", ""), ("123e-10000000", Policy(), "number_out_of_range", ""), ("9223372036854775807", Policy(int_bits=64), None, "9223372036854775807"),
-        ("-9223372036854775808", Policy(int_bits=64), None, "-9223372036854775808"), ("9223372036854775808", Policy(int_bits=64), "number_out_of_range", ""), ("2147483648", Policy(), "number_out_of_range", ""),
-        ("-2147483648", Policy(), None, "-2147483648"), ("32768", Policy(int_bits=16), "number_out_of_range", ""), ("-32768", Policy(int_bits=16), None, "-32768"),
-        ("123456789012345678901234567890", Policy(int_bits=128), None, "123456789012345678901234567890"), ("1.2", Policy(float=None), "number_out_of_range", ""), ("1e30", Policy(float=None), "number_out_of_range", ""),
+        ("0", Policy(), None, "0"), ("-0", Policy(), None, "0"), (" 1 ", Policy(), None, "1"), ("1234567890", Policy(), None, "1234567890"),
+        ("01", Policy(), "unexpected_extra_input", "0"),
+        ("-01", Policy(), "unexpected_extra_input", "0"), ("+1", Policy(), "expected_token", ""), (".1234", Policy(), "expected_token", ""),
+        ("-", Policy(), "expected_digits", ""), ("--", Policy(), "unrecognized_token", ""),
+        ("1Ex", Policy(), "unrecognized_token", ""), ("1..", Policy(), "unrecognized_token", ""), ("1.E", Policy(), "unrecognized_token", ""),
+        ("3.1415", Policy(), None, "3.1415"), ("-0.45", Policy(), None, "-0.45"),
+        ("0e2", Policy(), None, "0"), ("1e2", Policy(), None, "100"), ("1e+2", Policy(), None, "100"), ("1E-02", Policy(), None, "0.01"),
+        ("123123e100000", Policy(), "number_out_of_range", ""),
+        ("9999E999", Policy(), "number_out_of_range", ""), ("123e-10000000", Policy(), "number_out_of_range", ""),
+        ("9223372036854775807", Policy(int_bits=64), None, "9223372036854775807"),
+        ("-9223372036854775808", Policy(int_bits=64), None, "-9223372036854775808"),
+        ("9223372036854775808", Policy(int_bits=64), "number_out_of_range", ""), ("2147483648", Policy(), "number_out_of_range", ""),
+        ("-2147483648", Policy(), None, "-2147483648"), ("32768", Policy(int_bits=16), "number_out_of_range", ""),
+        ("-32768", Policy(int_bits=16), None, "-32768"),
+        ("123456789012345678901234567890", Policy(int_bits=128), None, "123456789012345678901234567890"),
+        ("1.2", Policy(float=None), "number_out_of_range", ""), ("1e30", Policy(float=None), "number_out_of_range", ""),
     ],
     "escape_cases": [
-        (r'"a\n"', Policy(), None, '"a\n"'), (r'"a\qb"', Policy(), "invalid_escape_char", ""), (r'"\u002F"', Policy(), None, '"/"'), (r'"\/"', Policy(), None, '"/"'), (r'"\u00af"', Policy(), None, '"\u00af"'),
-        (r'"\u0009"', Policy(), None, '"\t"'), ('"\t"', Policy(), "bad_unicode_code_point", ""), (r'"\u00xf"', Policy(), "invalid_hex_char", ""), (r'"\u00', Policy(), "expected_close_quote", ""), (r'"\0"', Policy(), "invalid_escape_char", ""),
-        ('"0123456789"', Policy(max_length=10), None, '"0123456789"'), ('"01234567890"', Policy(max_length=10), "string_too_long", ""), (r'"0123456789\u0030"', Policy(max_length=10), "string_too_long", ""), (r'"0123456789\n"', Policy(max_length=10), "string_too_long", ""),
+        (r'"a\n"', Policy(), None, '"a\n"'), (r'"a\qb"', Policy(), "invalid_escape_char", ""), (r'"\u002F"', Policy(), None, '"/"'),
+        (r'"\/"', Policy(), None, '"/"'), (r'"\u00af"', Policy(), None, '"\u00af"'),
+        (r'"\u0009"', Policy(), None, '"\t"'), ('"\t"', Policy(), "bad_unicode_code_point", ""), (r'"\u00xf"', Policy(), "invalid_hex_char", ""),
+        (r'"\u00', Policy(), "expected_close_quote", ""), (r'"\0"', Policy(), "invalid_escape_char", ""),
+        ('"0123456789"', Policy(max_length=10), None, '"0123456789"'), ('"01234567890"', Policy(max_length=10), "string_too_long", ""),
+        (r'"0123456789\u0030"', Policy(max_length=10), "string_too_long", ""),
+        (r'"0123456789\n"', Policy(max_length=10), "string_too_long", ""),
     ],
     "surrogate_cases": [
         (r'"\uD834\uDD1E"', Policy(), None, '"\U0001d11e"'), (r'"\u214B\u30A1"', Policy(), None, '"\u214b\u30a1"'), (r'"\uFFFF"', Policy(), None, '"\uffff"'), (r'"\uD834\u30A1"', Policy(), "bad_unicode_code_point", ""),
-        (r'"\uD834!"', Policy(), "bad_unicode_code_point", ""), (r'"\uDD1E\u30A1"', Policy(), "bad_unicode_code_point", ""), (r'"\uD800\uD800"', Policy(), "bad_unicode_code_point", ""), (r'"\uD834"', Policy(), "bad_unicode_code_point", ""),
+        (r'"\uD834!"', Policy(), "bad_unicode_code_point", ""), (r'"\uDD1E\u30A1"', Policy(), "bad_unicode_code_point", ""),
+        (r'"\uD800\uD800"', Policy(), "bad_unicode_code_point", ""), (r'"\uD834"', Policy(), "bad_unicode_code_point", ""),
         (r'"0123456789\uD834\uDD1E"', Policy(max_length=10), "string_too_long", ""),
     ],
 }
@@ -375,8 +391,10 @@ def chunk_assembly(spark, sf):
     return parsed(got, "j").select(F.col("id").alias("doc_id"), "whole", F.col("v").isNotNull().alias("ok"), F.md5(json_get("v", "text", "string").cast("binary")).alias("md5"))
 
 
-@query("""SELECT user_id AS id, event_id % 4 <> 1 AS ok, CASE WHEN event_id % 4 = 1 THEN 'expected_object_member' END AS error, CAST(length(props) - CAST(event_id % 4 = 1 AS INTEGER) + 1 AS INTEGER) AS "column",
-  CAST(ceil((length(props) - CAST(event_id % 4 = 1 AS INTEGER)) / 4.0) AS INTEGER) AS chunks FROM (SELECT event_id, event_id AS user_id, props FROM events)""")
+@query("""SELECT user_id AS id, event_id % 4 <> 1 AS ok, CASE WHEN event_id % 4 = 1 THEN 'expected_object_member' END AS error,
+  CAST(length(props) - CAST(event_id % 4 = 1 AS INTEGER) + 1 AS INTEGER) AS "column",
+  CAST(ceil((length(props) - CAST(event_id % 4 = 1 AS INTEGER)) / 4.0) AS INTEGER) AS chunks
+  FROM (SELECT event_id, event_id AS user_id, props FROM events)""")
 def stream_check(spark, sf):
     """A stream of documents in chunks of 4 bytes; every fourth lacks its last brace."""
     events = spark.readStream.schema("event_id long, props string").parquet(f"{sf}/events*.parquet")
@@ -386,7 +404,8 @@ def stream_check(spark, sf):
     return out.select("id", "ok", "error", "column", "chunks")
 
 
-@query("""SELECT n_nationkey, '{ "n_nationkey" ' || n_nationkey || ' "n_name" "' || n_name || '" "n_regionkey" ' || n_regionkey || ' }' AS tokens FROM nation""")
+@query("""SELECT n_nationkey, '{ "n_nationkey" ' || n_nationkey || ' "n_name" "' || n_name || '" "n_regionkey" ' || n_regionkey || ' }' AS tokens
+  FROM nation""")
 def render_tokens(spark, sf):
     df = table(spark, sf, "nation")
     out = json_render(json_events(df.select("n_nationkey", as_json(df).alias("j")), "n_nationkey", "j", WIDE))
@@ -407,7 +426,8 @@ def _orders(spark, sf) -> DataFrame:
     text = as_json(df, "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     kinds = {"o_orderkey": "integer", "o_custkey": "integer", "o_totalprice": "number", "o_orderpriority": "string"}
     m = df.select("o_orderdate", json_members(text, kinds, WIDE).alias("m"))
-    return m.select("o_orderdate", F.col("m.o_orderkey").alias("okey"), F.col("m.o_custkey").alias("ckey"), F.round("m.o_totalprice", 2).alias("price"), F.col("m.o_orderpriority").alias("priority"))
+    out = {"okey": F.col("m.o_orderkey"), "ckey": F.col("m.o_custkey"), "price": F.round("m.o_totalprice", 2), "priority": F.col("m.o_orderpriority")}
+    return m.select("o_orderdate", *(c.alias(k) for k, c in out.items()))
 
 
 def _events(spark, sf) -> DataFrame:
@@ -455,4 +475,5 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM b)
 SELECT user_id, min(ts) AS start, count(*) AS n, CAST(sum(k) AS BIGINT) AS sum_k FROM s GROUP BY user_id, s""")
 def session_json(spark, sf):
     df = _events(spark, sf)
-    return df.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.sum("k").alias("sum_k")).select("user_id", F.col("w.start").alias("start"), "n", "sum_k")
+    sums = df.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.sum("k").alias("sum_k"))
+    return sums.select("user_id", F.col("w.start").alias("start"), "n", "sum_k")

@@ -21,7 +21,8 @@ from larkspur.streaming import finished, stream_accumulate, stream_events, strea
 
 
 @query("""WITH t AS (SELECT event_id, CAST(event_id % 50 AS VARCHAR) || s AS j FROM events, (VALUES ('.99999999999999'), ('.00000000000001'), ('.0000000000001'), ('.5')) AS v(s))
-SELECT event_id, j, CASE WHEN abs(CAST(j AS DOUBLE) - trunc(CAST(j AS DOUBLE))) < 2.842170943040401e-14 THEN 'integer' ELSE 'float' END AS kind FROM t""")
+SELECT event_id, j, CASE WHEN abs(CAST(j AS DOUBLE) - trunc(CAST(j AS DOUBLE))) < 2.842170943040401e-14 THEN 'integer' ELSE 'float' END AS kind
+  FROM t""")
 def typeof_near_whole(spark, sf):
     """Floats next to a whole number: only the fraction towards zero counts."""
     ends = F.explode(F.array(*map(F.lit, (".99999999999999", ".00000000000001", ".0000000000001", ".5"))))
@@ -31,7 +32,8 @@ def typeof_near_whole(spark, sf):
 
 
 @query("""WITH t AS (SELECT o_orderkey, o_orderkey * 1000000 + 1 AS v FROM orders)
-SELECT o_orderkey, CASE WHEN v <= 32767 THEN v END AS i16, CASE WHEN v <= 2147483647 THEN v END AS i32, v AS i64, CAST(v AS VARCHAR) AS i128, CAST(CAST(v AS FLOAT) AS BIGINT) AS whole_float,
+SELECT o_orderkey, CASE WHEN v <= 32767 THEN v END AS i16, CASE WHEN v <= 2147483647 THEN v END AS i32, v AS i64,
+  CAST(v AS VARCHAR) AS i128, CAST(CAST(v AS FLOAT) AS BIGINT) AS whole_float,
   CASE WHEN v > 2147483647 THEN CAST(v AS DOUBLE) END AS f32, CAST(CAST(v AS HUGEINT) * 100000000000000000000 AS VARCHAR) AS big FROM t""")
 def get_under_policies(spark, sf):
     """A whole float under integers of each width, and under single precision; integers of 128 bits."""
@@ -105,7 +107,8 @@ def lexical_tokens(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.array_join(json_tokens(text), "|").alias("tokens"), F.array_join(json_tokens(broken), "|").alias("broken"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'integer' WHEN 1 THEN 'float' WHEN 2 THEN 'integer' END AS kind, CASE event_id % 4 WHEN 0 THEN event_id WHEN 2 THEN event_id * 100 END AS i,
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'integer' WHEN 1 THEN 'float' WHEN 2 THEN 'integer' END AS kind,
+  CASE event_id % 4 WHEN 0 THEN event_id WHEN 2 THEN event_id * 100 END AS i,
   CASE event_id % 4 WHEN 1 THEN event_id + 0.5 END AS f, CASE event_id % 4 WHEN 3 THEN 'number_out_of_range' END AS error FROM events""")
 def number_tokens(spark, sf):
     """Number tokens read by an expression: integers, floats, whole floats, and what is out of range."""
@@ -117,7 +120,8 @@ def number_tokens(spark, sf):
 
 
 @query("""WITH e(seq, event, depth) AS (VALUES (0, 'begin_array', 0), (1, 'boolean', 1), (2, 'null', 1), (3, 'begin_object', 1), (4, 'key', 2), (5, 'begin_array', 2), (6, 'integer', 3), (7, 'end_array', 2), (8, 'end_object', 1), (9, 'boolean', 1), (10, 'end_array', 0))
-SELECT n_nationkey, seq, event, depth, CASE seq WHEN 1 THEN true WHEN 9 THEN false END AS b, CASE seq WHEN 6 THEN CAST(n_nationkey AS BIGINT) END AS i FROM nation, e""")
+SELECT n_nationkey, seq, event, depth, CASE seq WHEN 1 THEN true WHEN 9 THEN false END AS b,
+  CASE seq WHEN 6 THEN CAST(n_nationkey AS BIGINT) END AS i FROM nation, e""")
 def event_kinds(spark, sf):
     df = table(spark, sf, "nation").select("n_nationkey", F.format_string('[true,null,{"n":[%d]},false]', "n_nationkey").alias("j"))
     return json_events(df, "n_nationkey", "j", WIDE).select(F.col("id").alias("n_nationkey"), "seq", "event", "depth", "b", "i")
@@ -139,7 +143,8 @@ class _Sum(Handler):
         return self.total
 
 
-@query("""SELECT c_custkey, c_mktsegment <> 'BUILDING' AS ok, CASE WHEN c_mktsegment = 'BUILDING' THEN 'user' END AS category, CASE WHEN c_mktsegment = 'BUILDING' THEN 'unwelcome' END AS error,
+@query("""SELECT c_custkey, c_mktsegment <> 'BUILDING' AS ok, CASE WHEN c_mktsegment = 'BUILDING' THEN 'user' END AS category,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'unwelcome' END AS error,
   c_custkey + CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE c_nationkey END AS result FROM customer""")
 def accumulate_user_error(spark, sf):
     """A user's handler, with an error of its own, over each text."""
@@ -154,7 +159,8 @@ def position_order(spark, sf):
     """Positions compare by line, then column."""
     lines = F.repeat(F.lit("\n"), (F.col("event_id") % 3).cast("int"))
     first, second = json_check(F.lit("[1 2]"))["pos"], json_check(F.concat(F.lit("["), lines, F.lit("1 2 ]")))["pos"]
-    return table(spark, sf, "events").select("event_id", first.alias("a"), second.alias("b")).select("event_id", (F.col("a") <= F.col("b")).alias("before_"), (F.col("a") == F.col("b")).alias("same"))
+    both = table(spark, sf, "events").select("event_id", first.alias("a"), second.alias("b"))
+    return both.select("event_id", (F.col("a") <= F.col("b")).alias("before_"), (F.col("a") == F.col("b")).alias("same"))
 
 
 # pieces and streams
@@ -166,7 +172,9 @@ def _pieces(spark, sf, name: str, schema: str, id_: str, text, size: int) -> Dat
 
 
 @query("""WITH e(seq, event) AS (VALUES (0, 'begin_object'), (1, 'key'), (2, 'integer'), (3, 'end_object'))
-SELECT event_id AS id, seq, event, CASE seq WHEN 1 THEN 'k' END AS key, CASE seq WHEN 2 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS i, CAST(seq IN (1, 2) AS INTEGER) AS depth FROM events, e""", name="stream_events")
+SELECT event_id AS id, seq, event, CASE seq WHEN 1 THEN 'k' END AS key, CASE seq WHEN 2 THEN
+  CAST(json_extract(props, '$.k') AS BIGINT) END AS i, CAST(seq IN (1, 2) AS INTEGER) AS depth
+  FROM events, e""", name="stream_events")
 def _stream_events(spark, sf):
     """Events of documents that arrive in chunks of three bytes."""
     pieces = _pieces(spark, sf, "events", "event_id long, props string", "event_id", F.col("props"), 3)
@@ -183,7 +191,8 @@ def _stream_accumulate(spark, sf):
     return out.select("id", "ok", "error", "result")
 
 
-@query("""SELECT event_id AS id, false AS ended, 2 AS token_line, 2 AS token_column, 2 AS line, CAST(2 + length(CAST(event_id AS VARCHAR)) AS INTEGER) AS "column",
+@query("""SELECT event_id AS id, false AS ended, 2 AS token_line, 2 AS token_column, 2 AS line,
+  CAST(2 + length(CAST(event_id AS VARCHAR)) AS INTEGER) AS "column",
   CAST(ceil((3 + length(CAST(event_id AS VARCHAR))) / 2.0) AS INTEGER) AS chunks FROM events""", name="stream_progress")
 def _stream_progress(spark, sf):
     """Where the token begins that is being read, and where input has come to, while more may follow."""
@@ -192,8 +201,10 @@ def _stream_progress(spark, sf):
     return out.select("id", "ended", "token_line", "token_column", "line", "column", "chunks")
 
 
-@query("""WITH e AS (SELECT ts, event_id % 10 = 0 AS late, event_id % 10 > 1 AS early, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end_ FROM events),
-w AS (SELECT date_trunc('milliseconds', max(ts) FILTER (early)) - INTERVAL 10 MINUTE AS first, date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS last FROM e)
+@query("""WITH e AS (SELECT ts, event_id % 10 = 0 AS late, event_id % 10 > 1 AS early, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end_
+  FROM events),
+w AS (SELECT date_trunc('milliseconds', max(ts) FILTER (early)) - INTERVAL 10 MINUTE AS first,
+  date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS last FROM e)
 SELECT end_ - INTERVAL 1 HOUR AS start, count(*) AS n FROM e, w WHERE end_ <= last AND (NOT late OR end_ > first) GROUP BY 1""")
 def late_data(spark, sf):
     """Windows under a watermark: the last of three batches comes when the first one's watermark has passed most of it."""
@@ -221,7 +232,9 @@ def files_roundtrip(spark, sf):
 # SQL
 
 
-@query("""SELECT r_name, 3 * count(*) AS n_keys, sum(CAST(n_nationkey AS BIGINT)) AS sum_key FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IN (SELECT min(r_regionkey) FROM region UNION SELECT max(r_regionkey) FROM region) GROUP BY 1""")
+@query("""SELECT r_name, 3 * count(*) AS n_keys, sum(CAST(n_nationkey AS BIGINT)) AS sum_key
+  FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IN (SELECT min(r_regionkey)
+  FROM region UNION SELECT max(r_regionkey) FROM region) GROUP BY 1""")
 def sql_views(spark, sf):
     """Views, a table function with LATERAL, a common table expression and subqueries, in SQL."""
     register_json_events(spark, "larkspur_events", WIDE)
@@ -263,7 +276,8 @@ def outer_join_json(spark, sf):
     return table(spark, sf, "customer").select("c_custkey").join(orders, "c_custkey", "left").fillna(0, ["n"])
 
 
-@query("""SELECT p.event_id, v.event_id AS view_id, CAST(json_extract(v.props, '$.k') AS BIGINT) AS k FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+@query("""SELECT p.event_id, v.event_id AS view_id, CAST(json_extract(v.props, '$.k') AS BIGINT) AS k
+  FROM (SELECT * FROM events WHERE event_type = 'purchase') p
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
 def asof_join_json(spark, sf):
     """For each purchase the user's last view before it."""
@@ -273,7 +287,9 @@ def asof_join_json(spark, sf):
     return asof_join(bought, views, "ts", ["user_id"], ["view_id", "k"]).select("event_id", "view_id", "k")
 
 
-@query("""SELECT low, count(*) AS n FROM events JOIN (SELECT range * 25 AS low, range * 25 + 30 AS high FROM range(4)) ON CAST(json_extract(props, '$.k') AS BIGINT) >= low AND CAST(json_extract(props, '$.k') AS BIGINT) < high GROUP BY 1""")
+@query("""SELECT low, count(*) AS n FROM events JOIN (SELECT range * 25 AS low, range * 25 + 30 AS high
+  FROM range(4)) ON CAST(json_extract(props, '$.k') AS BIGINT) >= low AND CAST(json_extract(props, '$.k') AS BIGINT) < high
+  GROUP BY 1""")
 def range_join_json(spark, sf):
     """Members within overlapping ranges."""
     bands = spark.range(4).select((F.col("id") * 25).alias("low"), (F.col("id") * 25 + 30).alias("high"))
@@ -303,17 +319,24 @@ def distinct_json(spark, sf):
 def approximate_json(spark, sf):
     """Approximate aggregates within their stated errors of the exact ones."""
     df = _events(spark, sf).select("k", (F.col("user_id") * 1000 + F.col("k")).alias("pair"))
-    exact = df.agg(F.count("*").alias("n"), F.countDistinct("pair").alias("d"), F.median("k").alias("m"), F.approx_count_distinct("pair", 0.02).alias("ad"), F.percentile_approx("k", 0.5, 1000).alias("am"))
-    return exact.select((F.col("n") > 0).alias("n_ok"), (F.abs(F.col("ad") - F.col("d")) <= 0.08 * F.col("d")).alias("distinct_ok"), (F.abs(F.col("am") - F.col("m")) <= 1).alias("median_ok"))
+    exact = [F.count("*").alias("n"), F.countDistinct("pair").alias("d"), F.median("k").alias("m")]
+    near = [F.approx_count_distinct("pair", 0.02).alias("ad"), F.percentile_approx("k", 0.5, 1000).alias("am")]
+    got = df.agg(*exact, *near)
+    ok = {"n_ok": F.col("n") > 0, "distinct_ok": F.abs(F.col("ad") - F.col("d")) <= 0.08 * F.col("d"), "median_ok": F.abs(F.col("am") - F.col("m")) <= 1}
+    return got.select(*(c.alias(k) for k, c in ok.items()))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
 SELECT event_id, CAST(sum(k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS three,
-  CAST(sum(k) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS hour, lag(k) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS quarter FROM e""")
+  CAST(sum(k) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS hour,
+  lag(k) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS quarter
+  FROM e""")
 def window_frames(spark, sf):
     by = Window.partitionBy("user_id")
     line, clock = by.orderBy("ts", "event_id"), by.orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
-    return _events(spark, sf).select("event_id", F.sum("k").over(line.rowsBetween(-2, 0)).alias("three"), F.sum("k").over(clock).alias("hour"), F.lag("k").over(line).alias("before_"), F.ntile(4).over(line).alias("quarter"))
+    sums = {"three": F.sum("k").over(line.rowsBetween(-2, 0)), "hour": F.sum("k").over(clock)}
+    places = {"before_": F.lag("k").over(line), "quarter": F.ntile(4).over(line)}
+    return _events(spark, sf).select("event_id", *(c.alias(k) for k, c in (sums | places).items()))
 
 
 @query("SELECT DISTINCT start, n FROM (SELECT start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1)")
@@ -321,7 +344,8 @@ def sliding_json(spark, sf):
     return _events(spark, sf).groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("k").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-@query("""SELECT o_custkey AS ckey FROM orders WHERE o_totalprice > 250000 INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice < 100000""")
+@query("""SELECT o_custkey AS ckey FROM orders WHERE o_totalprice > 250000 INTERSECT SELECT o_custkey
+  FROM orders WHERE o_totalprice < 100000""")
 def intersect_json(spark, sf):
     orders = _orders(spark, sf)
     return orders.where("price > 250000").select("ckey").intersect(orders.where("price < 100000").select("ckey"))
