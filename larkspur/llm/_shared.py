@@ -1,31 +1,17 @@
-"""Helpers of this subpackage that touch the session: shared folders, written tables, links."""
+"""Helpers of this subpackage: written tables, bounded broadcasts, links."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.storage import fresh_path
+
 #: A table of at most so many bytes in memory may be broadcast; beyond it a shuffle join is used.
 BROADCAST_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file:///tmp/larkspur-checkpoints"
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/larkspur/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -34,13 +20,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Deletes all tables that this application wrote; results that still read them must have been stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/larkspur/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _width(value: Column, kind: T.DataType) -> Column:
     """Bytes of a value in a row, about."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

@@ -47,6 +47,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A row per text: roots of the shares of bytes and byte pairs, and how much of it repeats."""
     n, size = len(off) - 1, np.diff(off)
     doc = np.repeat(np.arange(n), size)
+    share = lambda counts, of: np.sqrt(counts / np.maximum(of, 1)[:, None])
     one = np.bincount(doc * 256 + buf, minlength=n * 256).reshape(n, 256)
     if len(buf) > 1:
         inner = doc[1:] == doc[:-1]
@@ -64,40 +65,13 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     upper = one[:, 0x41:0x5B].sum(1) / np.maximum(size, 1)
     length = np.bincount(of, (w.end - w.start), minlength=n) / count
     extra = np.stack([again, np.sqrt(again), same, upper, np.minimum(length, 40) / 40, np.log1p(size) / 16], 1)
-    return np.concatenate([np.sqrt(one / np.maximum(size, 1)[:, None]), np.sqrt(two / np.maximum(size - 1, 1)[:, None]), extra], 1).astype(np.float32)
+    return np.concatenate([share(one, size), share(two, size - 1), extra], 1).astype(np.float32)
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _descend(x: np.ndarray, gradient, steps: int, rate: float = 0.2, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Adam on a linear model; gradient(z) gives the derivative of the risk by each text's output."""
-    w, m, v = np.zeros(x.shape[1] + 1, np.float32), 0.0, 0.0
-    for t in range(1, steps + 1):
-        g = gradient(x @ w[:-1] + w[-1]).astype(np.float32)
-        g = np.append(x.T @ g + ridge * w[:-1], g.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    return w[:-1], float(w[-1])
-
-
-def class_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among the unlabelled: best-bin estimate."""
-    x = np.concatenate([p[::2], u[::2]])
-    y = np.concatenate([np.ones(len(p[::2])), np.zeros(len(u[::2]))])
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w, b = _descend(x, lambda z: weight * (_sigmoid(z) - y), 150)
-    sp, su = np.sort(p[1::2] @ w + b), np.sort(u[1::2] @ w + b)
-    if not len(sp) or not len(su):
-        return 0.5
-    qp = 1 - np.arange(len(sp)) / len(sp)
-    qu = 1 - np.searchsorted(su, sp, "left") / len(su)
-    slack = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(len(su)) + 1 / np.sqrt(len(sp)))
-    k = int(np.argmin((qu + slack) / qp))
-    return float(np.clip(qu[k] / qp[k], 0.05, 0.98))
-
-
 @dataclass
 class Model:
     weights: np.ndarray
@@ -108,25 +82,6 @@ class Model:
         return _sigmoid((x @ self.weights).astype(np.float64) + self.bias)
 
 
-def train(x: np.ndarray, n: int, steps: int = 300) -> Model:
-    """Non-negative risk on features, the first n rows of positives and the others of unlabelled texts."""
-    rest = len(x) - n
-    if not n or not rest:
-        return Model(np.zeros(FEATURES, np.float32), 0.0, 0.5)
-    prior = class_prior(x[:n], x[n:])
-
-    def gradient(z: np.ndarray) -> np.ndarray:
-        s = _sigmoid(z)
-        negative = np.logaddexp(0, z[n:]).mean() - prior * np.logaddexp(0, z[:n]).mean()
-        as_negative = np.concatenate([-prior * s[:n] / n, s[n:] / rest])
-        if negative < 0:
-            return -as_negative
-        as_negative[:n] += prior * (s[:n] - 1) / n
-        return as_negative
-
-    return Model(*_descend(x, gradient, steps), prior)
-
-
 _SLICES = 16
 
 
@@ -143,7 +98,8 @@ def _sums(rows: DataFrame, of, width: int) -> np.ndarray:
                 x = np.frombuffer(data.buffers()[2], np.float16)[data.offset * FEATURES :][: len(data) * FEATURES]
                 x = x.reshape(len(data), FEATURES).astype(np.float32)
                 total[:width] += of(x, part.column(0).to_numpy() == 1, part.column(1).to_numpy() == 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES)), pa.array([v.tobytes() for v in total.reshape(_SLICES, size)])], names=["slice", "sums"])
+        sums = pa.array([v.tobytes() for v in total.reshape(_SLICES, size)])
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES)), sums], names=["slice", "sums"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -274,16 +230,19 @@ def _train(rows: DataFrame, ridge: float = 0.1, slack: float = 2.0) -> Model:
 
 def fit(docs: DataFrame, trusted: DataFrame, id_: str = "doc_id", text: str = "text", positives: int = POSITIVES) -> Model:
     """trusted: the ids of positive texts, in a column named like id_; at most ``positives`` of them are used."""
-    ids = trusted.where(F.col(id_).isNotNull()).select(F.col(id_).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(positives)
+    ids = trusted.where(F.col(id_).isNotNull()).select(F.col(id_).alias("_id")).distinct()
+    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(positives)
 
     def compute(batches):
         for b in batches:
             for row, buf, off in texts(b.column(2)):
                 x = features(buf, off).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(row, len(x)) for k in (0, 1)), pa.array([r.tobytes() for r in x], pa.binary())], names=["p", "half", "x"])
+                own = [b.column(k).slice(row, len(x)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([r.tobytes() for r in x], pa.binary())], names=["p", "half", "x"])
 
     half = F.pmod(F.xxhash64(text, F.lit(1)), F.lit(2)).cast("int").alias("half")
-    every = docs.select(F.col(id_).alias("_id"), half, F.col(text).alias("_t")).join(F.broadcast(ids.withColumn("p", F.lit(1))), "_id", "left")
+    every = docs.select(F.col(id_).alias("_id"), half, F.col(text).alias("_t"))
+    every = every.join(F.broadcast(ids.withColumn("p", F.lit(1))), "_id", "left")
     rows = every.select(F.coalesce("p", F.lit(0)).alias("p"), "half", "_t")
     return _train(written(rows.mapInArrow(compute, "p int, half int, x binary"), "features"))
 

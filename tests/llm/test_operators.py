@@ -12,9 +12,10 @@ from conftest import SMALL, rows_of
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, mixing, quality, sharding, url_filter, warc
-from larkspur.llm._shared import cleanup, components, fresh_path, small, written
+from larkspur.llm._shared import components, small, written
 from larkspur.llm._text import ALNUM, SPACED, Words, shingles, texts
 from larkspur.llm.queries import ORACLES, QUERIES
+from larkspur.storage import cleanup, fresh_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, p string, tokens int, h int, range int, shard string"
 
@@ -744,15 +745,20 @@ def test_quality_stage_edges(spark, tmp_path):
         assert quality.stage(spark, docs.limit(0), path).count() == 0
 
 
-def test_class_prior():
+def test_class_prior(spark):
+    """Made-up features with a known share of positives among the unlabelled."""
     r = np.random.RandomState(0)
-    good, bad = r.randn(4000, 5) + 1, r.randn(1000, 5) - 2
-    p, u = good[:1500], np.concatenate([good[1500:], bad[: 2500 // 4]])
-    true = 2500 / len(u)
-    x = lambda a: np.pad(a, ((0, 0), (0, 3))).astype(np.float32)
-    assert abs(quality.class_prior(x(p), x(u[r.permutation(len(u))])) - true) < 0.08
-    m = quality.train(np.concatenate([x(p), x(u)]), len(p))
-    assert (m.score(x(good)) > 0.5).mean() > 0.95 and (m.score(x(bad)) < 0.5).mean() > 0.9
+    good, bad = r.randn(2400, 5) + 1, r.randn(600, 5) - 2
+    every = np.concatenate([good, bad]) / 4
+    x = np.pad(every, ((0, 0), (0, quality.FEATURES - 5))).astype(np.float16)
+    rows = [(int(k < 900), int(r.randint(2)), bytearray(v.tobytes())) for k, v in enumerate(x)]
+    m = quality._train(spark.createDataFrame(rows, "p int, half int, x binary").repartition(4))
+    assert abs(m.prior - len(good) / len(every)) < 0.08
+    score = m.score(x.astype(np.float32))
+    assert (score[: len(good)] > 0.5).mean() > 0.95 and (score[len(good) :] < 0.5).mean() > 0.9
+    q = np.zeros((2, 100))
+    q[0, 60:80], q[1, 60:80], q[1, 10:20] = 50, 70, 60
+    assert abs(quality._best_bin(*q) - 1400 / 2000) < 1e-9 and quality._best_bin(q[0] * 0, q[1]) == 0.5
 
 
 # 10
