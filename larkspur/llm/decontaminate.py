@@ -164,6 +164,7 @@ def _count(docs: DataFrame, text: str, windows: Windows) -> dict[int, dict[int,
     out: dict[int, dict[int, int]] = {}
     for r in rows.collect():  # at most one row for each shingle of the block
         out.setdefault(r.s, {})[r.key] = r.n
+    keys.destroy()
     return out
 
 

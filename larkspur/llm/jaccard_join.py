@@ -64,7 +64,8 @@ def _counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
                 g, _ = shingles(Words(buf, off, SPACED), words)
                 table += np.bincount((g >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(table))
         if table.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES)), pa.array([x.astype(np.uint32).tobytes() for x in table.reshape(_SLICES, width)])], names=["slice", "counts"])
+            slices = pa.array([x.astype(np.uint32).tobytes() for x in table.reshape(_SLICES, width)])
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES)), slices], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -131,6 +132,7 @@ def _rows(docs: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, id_: str, text: str, words: int, bound: Bound, counts: np.ndarray) -> DataFrame:
+    """A written table."""
     held = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(U))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +153,9 @@ def _signatures(docs: DataFrame, id_: str, text: str, words: int, bound: Bound,
                 keys = [pa.array(k) for k in _set_keys(g, first)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), *keys, lists], names=["id", "version", "n", "k1", "k2", "prefix"])
 
-    return _rows(docs, id_, text).mapInArrow(sign, f"id long, version long, {_SIGNATURE}")
+    out = written(_rows(docs, id_, text).mapInArrow(sign, f"id long, version long, {_SIGNATURE}"), "signatures")
+    held.destroy()
+    return out
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -317,7 +321,7 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     version is the text's hash, group a number of the component, component its smallest id.
     """
     bound = Bound(percent)
-    signs = written(_signatures(docs, id_, text, words, bound, _counts(docs, text, words)), "signatures")
+    signs = _signatures(docs, id_, text, words, bound, _counts(docs, text, words))
     sets = signs.where("n > 0 AND id IS NOT NULL")
     # one row for each set; copies are summed up before they are shuffled
     classes = sets.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))

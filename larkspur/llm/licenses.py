@@ -14,7 +14,8 @@ All of it is one expression per row, without a shuffle. The templates are a shor
 
 Edge cases: a null or empty text, or one with fewer words than a shingle, holds nothing; a template with fewer words
 than a shingle is refused; equal templates under two names are both found; repeated rows and null ids are scanned like
-any others; long texts are read whole.
+any others; long texts are read whole; an empty table gives no rows; other columns are kept, but a column ``matches`` is
+replaced.
 """
 
 from __future__ import annotations

@@ -269,15 +269,16 @@ def _chosen(batch: pa.RecordBatch, places: Filter | None, min_chars: int) -> Ite
         yield x, some
 
 
-def _keys(rows: DataFrame, blocks: int, min_chars: int, places: Filter | None = None, met: Filter | None = None) -> DataFrame:
+def _keys(rows: DataFrame, blocks: int, min_chars: int, held: list, places: Filter | None = None, met: Filter | None = None) -> DataFrame:
     """Rows (key, h): keys of the lines (of some places; those that a filter has), with one of some blocks left out.
 
-    h is rough unless there are places or keys to look for.
+    h is rough unless there are places or keys to look for. held gets the broadcast, to be destroyed after use.
     """
-    held = rows.sparkSession.sparkContext.broadcast((places, met))
+    sent = rows.sparkSession.sparkContext.broadcast((places, met))
+    held.append(sent)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, met = held.value
+        places, met = sent.value
         for b in batches:
             for x, some in _chosen(b, places, min_chars):
                 keys, lines = [], []
@@ -305,9 +306,10 @@ def _met(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
 
 
-def _emit(rows: DataFrame, places: Filter, met: Filter, min_chars: int) -> DataFrame:
+def _emit(rows: DataFrame, places: Filter, met: Filter, min_chars: int, held: list) -> DataFrame:
     """Rows (h, g, line, v, kind) of the lines at some places: variants in the blocks whose fine keys are met."""
-    held = rows.sparkSession.sparkContext.broadcast((places, met))
+    sent = rows.sparkSession.sparkContext.broadcast((places, met))
+    held.append(sent)
 
     def variants(x: Lines, some: np.ndarray, met: Filter) -> np.ndarray:
         """Rows (line, key, kind) in order: 0 a replacement at a place, 1 the longer line of an insertion, 2 the shorter."""
@@ -329,7 +331,7 @@ def _emit(rows: DataFrame, places: Filter, met: Filter, min_chars: int) -> DataF
         return every[np.concatenate([[True], (every[1:] != every[:-1]).any(1)])] if len(every) else every
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, met = held.value
+        places, met = sent.value
         for b in batches:
             for x, some in _chosen(b, places, min_chars):
                 every = variants(x, some, met)
@@ -346,19 +348,21 @@ def _emit(rows: DataFrame, places: Filter, met: Filter, min_chars: int) -> DataF
 
 def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Rows (id, version, no): the lines that go; version is xxhash64 of the text."""
-    rows, line = _rows(docs, id_, text), ["h", "g"]
+    rows, line, held = _rows(docs, id_, text), ["h", "g"], []
     index = written(_index(rows), "lines")
     # per distinct line its earliest place
     lines = index.groupBy(*line).agg(F.min(F.struct(*_KEY, "no", *line)).alias("at"), F.count("*").alias("n"))
     lines = written(lines, "distinct")
-    met = written(_met(_keys(rows, COARSE, min_chars)), "met")
-    found = _keys(rows, COARSE, min_chars, met=_numbers(met)).join(met, "key").select("h").distinct()
+    met = written(_met(_keys(rows, COARSE, min_chars, held)), "met")
+    found = _keys(rows, COARSE, min_chars, held, met=_numbers(met)).join(met, "key").select("h").distinct()
     some = written(lines.join(found, "h", "left_semi").select("at.*", "at"), "places")
-    fine = written(_keys(rows, FINE, min_chars, _places(some.select(*_KEY, "no"))), "fine")
+    fine = written(_keys(rows, FINE, min_chars, held, _places(some.select(*_KEY, "no"))), "fine")
     met = written(_met(fine), "met")
     near = written(some.join(fine.join(met, "key").select("h").distinct(), "h", "left_semi").select(*_KEY, "no"), "near")
-    emitted = _emit(rows, _places(near), _numbers(met), min_chars)
+    emitted = _emit(rows, _places(near), _numbers(met), min_chars, held)
     emitted = written(emitted.dropDuplicates(line), "variants")
+    for sent in held:
+        sent.destroy()
     each = emitted.select(*line, F.explode(F.arrays_zip("v", "kind")).alias("x")).select(*line, "x.v", "x.kind")
     each = each.join(some.select(*line, "at"), line)
     group = Window.partitionBy("v", F.expr("kind > 0"))

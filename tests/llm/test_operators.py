@@ -262,6 +262,10 @@ def test_licenses(spark):
     assert [got[r] for r in rows] == [[], [], ["MIT"], ["MIT-permission"], ["MIT-permission"] if _contained(mit, changed) else [], ["GPL-3.0"], ["MIT"], []]
     with pytest.raises(ValueError):
         licenses.prepare(spark, {"short": "too few words"})
+    docs = docs_of(spark, (1, rows[6][1]), (1, rows[6][1]), (None, None)).withColumn("matches", F.lit("mine"))
+    out = licenses.scan_licenses(docs)
+    assert out.columns == docs.columns and Counter(len(r.matches) > 0 for r in out.collect()) == {True: 2, False: 1}
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
 def _contained(a: str, b: str) -> bool:
