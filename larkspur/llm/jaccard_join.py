@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._shared import components, small, written
+from larkspur.llm._shared import components, discard, small, written
 from larkspur.llm._text import SPACED, U, Words, mix, shingles, texts
 
 SKETCH_BITS = 20
@@ -321,23 +321,29 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     version is the text's hash, group a number of the component, component its smallest id.
     """
     bound = Bound(percent)
-    signs = _signatures(docs, id_, text, words, bound, _counts(docs, text, words))
-    sets = signs.where("n > 0 AND id IS NOT NULL")
+    wide = _signatures(docs, id_, text, words, bound, _counts(docs, text, words))
+    sets = wide.where("n > 0 AND id IS NOT NULL")
     # one row for each set; copies are summed up before they are shuffled
     classes = sets.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    posts = classes.select(F.col("class").alias("id"), "n", F.explode("prefix").alias("token"))
+    prefixes = written(classes.withColumn("class", F.monotonically_increasing_id()), "prefixes")
+    classes = written(prefixes.drop("n", "prefix"), "classes")
+    signs = written(wide.drop("prefix"), "signatures")
+    discard(wide)
+    posts = prefixes.select(F.col("class").alias("id"), "n", F.explode("prefix").alias("token"))
     shared = posts.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("token")
     hits = written(posts.join(shared, "token"), "hits")
+    discard(prefixes)
     enough = F.count("*") >= bound.need(F.min("n"))
     alive = hits.groupBy("id").agg(enough.alias("ok")).where("ok").select("id")
     level = bound.level(F.col("n"))
-    posts = hits.join(alive, "id", "left_semi").withColumn("layer", F.explode(F.array(level, level + 1)))
+    posts, last = hits.join(alive, "id", "left_semi").withColumn("layer", F.explode(F.array(level, level + 1))), hits
     for _ in range(2):
         shared = posts.groupBy("token", "layer").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
         hits = posts.drop("pivot").join(shared, ["token", "layer"])
         alive = hits.groupBy("id", "layer").agg(enough.alias("ok")).where("ok").select("id", "layer")
         posts = written(hits.join(alive, ["id", "layer"], "left_semi"), "hits")
+        discard(last)
+        last = posts
     chosen = classes.select("id", "k1", "k2", "class").join(posts.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
     chosen = written(chosen, "chosen")
     # of several rows with one id all come along; two rows of one class do no harm
@@ -348,16 +354,19 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     posts = posts.drop("pivot").join(written(labels, "labels"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     shared = posts.groupBy("token", "layer").agg(F.min("id").alias("pivot"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
     posts = posts.join(shared.drop("a", "b"), ["token", "layer"])
-    posts = written(posts.join(posts.groupBy("id", "layer").agg(enough.alias("ok")).where("ok").select("id", "layer"), ["id", "layer"], "left_semi"), "hits")
+    alive = posts.groupBy("id", "layer").agg(enough.alias("ok")).where("ok").select("id", "layer")
+    posts = written(posts.join(alive, ["id", "layer"], "left_semi"), "hits")
+    discard(last)
     dealt = written(_dealt(posts, block), "dealt").join(held, "id")
     links = dealt.select("id", "label", "tokens", "side", "bucket", "x", "y").groupBy("bucket", "x", "y").applyInArrow(_find(bound), "a long, b long")
     links = written(links.unionByName(stars), "links")
+    discard(held, posts)
     found = components(links).withColumnRenamed("id", "class").join(classes.select("class", "id"), "class")
     first = found.groupBy("component").agg(F.min("id").alias("first"))
     found = written(found.join(first, "component").select("class", "component", "first"), "components")
-    named = classes.drop("prefix", "n").join(small(found), "class", "left")
+    named = classes.join(small(found), "class", "left")
     named = named.select("k1", "k2", F.coalesce("component", "class").alias("group"), F.coalesce("first", "id").alias("named"))
-    out = signs.drop("prefix").join(named, ["k1", "k2"], "left")
+    out = signs.join(named, ["k1", "k2"], "left")
     some = F.col("n") > 0
     name = F.when(F.col("id").isNotNull(), F.when(some, F.col("named")).otherwise(F.col("id")))
     return out.select("id", "version", F.col("n").alias("n_shingles"), F.when(some, F.col("group")).alias("group"), name.alias("component"))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm._shared import written
+from larkspur.llm._shared import discard, written
 from larkspur.llm._text import CHUNK, U, mix, texts
 
 MIN_CHARS = 20
@@ -361,6 +361,7 @@ def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", min_
     near = written(some.join(fine.join(met, "key").select("h").distinct(), "h", "left_semi").select(*_KEY, "no"), "near")
     emitted = _emit(rows, _places(near), _numbers(met), min_chars, held)
     emitted = written(emitted.dropDuplicates(line), "variants")
+    discard(fine, near)
     for sent in held:
         sent.destroy()
     each = emitted.select(*line, F.explode(F.arrays_zip("v", "kind")).alias("x")).select(*line, "x.v", "x.kind")
