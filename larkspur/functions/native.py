@@ -75,21 +75,18 @@ def end_position(text: Column) -> Column:
 
 
 def truncated(value: Column) -> Column:
-    return F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("double")
+    """The number without its fraction, as a double; floor() and ceil() of a double give longs, too small for some."""
+    whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("double")
+    return F.when(F.abs(value) < 2.0**52, whole).otherwise(value)
 
 
 def is_whole(value: Column, policy: Policy) -> Column:
     """Whether a float counts as an integer under the policy."""
-    t = truncated_double(value)
+    t = truncated(value)
     eps = WHOLE[policy.float or "double"]
     return (F.abs(value - t) < eps) & (t >= float(policy.int_min)) & (t < 2.0 ** (policy.int_bits - 1))
 
 
-def truncated_double(value: Column) -> Column:
-    """The number without its fraction, as a double; floor() and ceil() of a double give longs, too small for some."""
-    return F.when(F.abs(value) < 2.0**52, truncated(value)).otherwise(value)
-
-
 def flat(text: Column, policy: Policy) -> Column:
     """True only if the text is valid, of at most one level of brackets, with strings without escapes and plain numbers."""
     body = text.cast("string")
@@ -122,7 +119,7 @@ def flat_events(text: Column, policy: Policy) -> Column:
         name = name.otherwise(F.when(floating, "float").otherwise("integer"))
         body = F.split_part(t, F.lit('"'), F.lit(2))
         inside = F.substring(F.get(tokens, F.lit(0)), 1, 1).isin("{", "[") & ~c.isin("{", "}", "[", "]")
-        whole = F.when(t.contains("."), truncated_double(number).try_cast("bigint")).otherwise(t.try_cast("bigint"))
+        whole = F.when(t.contains("."), truncated(number).try_cast("bigint")).otherwise(t.try_cast("bigint"))
         return F.struct(
             name.alias("event"),
             inside.cast("int").alias("depth"),

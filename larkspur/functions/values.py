@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from larkspur.checker import Document, parse
 from larkspur.functions.checks import column as _col
 from larkspur.functions.checks import decoded, json_text, json_valid, mapped
-from larkspur.functions.native import is_whole, surely_valid, truncated_double
+from larkspur.functions.native import is_whole, surely_valid, truncated
 from larkspur.policy import Policy
 
 KINDS = ("integer", "float", "number", "string", "boolean", "null", "array", "object", "any")
@@ -64,7 +64,7 @@ def json_typeof(v: Column | str, policy: Policy | None = None) -> Column:
 
 def _integer(v: Column, policy: Policy) -> Column:
     """A value of the type integer as BIGINT, or as DECIMAL(38, 0) where the policy has 128 bits."""
-    kind, number = F.schema_of_variant(v), truncated_double(_double(v, policy))
+    kind, number = F.schema_of_variant(v), truncated(_double(v, policy))
     if policy.int_bits <= 64:
         return F.when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint")).otherwise(number.try_cast("bigint"))
     # whole decimals beyond a long are integers as written; those within one were written with a fraction of zeros
@@ -72,7 +72,7 @@ def _integer(v: Column, policy: Policy) -> Column:
     exact = F.when((kind == "BIGINT") | beyond, F.try_variant_get(v, "$", "decimal(38,0)"))
     # a double in two parts that longs hold
     part = lambda x: x.try_cast("bigint").cast("decimal(20,0)")
-    high = truncated_double(number / 2.0**62)
+    high = truncated(number / 2.0**62)
     rest = part(number - high * 2.0**62)
     split = (part(high) * F.lit(2**62).cast("decimal(19,0)")).try_cast("decimal(38,0)") + rest
     return F.coalesce(exact, split.try_cast("decimal(38,0)"))
@@ -86,7 +86,7 @@ def typed(member: Column, kind: str, policy: Policy) -> Column:
         return member
     if kind == "number":
         name, value = json_typeof(member, policy), _double(member, policy)
-        return F.when(name == "float", value).when(name == "integer", truncated_double(value))
+        return F.when(name == "float", value).when(name == "integer", truncated(value))
     is_kind = json_typeof(member, policy) == kind
     if kind == "null":
         return F.when(is_kind, F.lit(True))
