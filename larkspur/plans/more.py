@@ -31,13 +31,13 @@ def typeof_near_whole(spark, sf):
     return df.select("event_id", "j", json_typeof(json_parse("j", WIDE), WIDE).alias("kind"))
 
 
-@query("""WITH t AS (SELECT o_orderkey, o_orderkey * 1000000 + 1 AS v FROM orders)
+@query("""WITH t AS (SELECT o_orderkey, o_orderkey % 40000 * 100000 + 1 AS v FROM orders)
 SELECT o_orderkey, CASE WHEN v <= 32767 THEN v END AS i16, CASE WHEN v <= 2147483647 THEN v END AS i32, v AS i64,
   CAST(v AS VARCHAR) AS i128, CAST(CAST(v AS FLOAT) AS BIGINT) AS whole_float,
   CASE WHEN v > 2147483647 THEN CAST(v AS DOUBLE) END AS f32, CAST(CAST(v AS HUGEINT) * 100000000000000000000 AS VARCHAR) AS big FROM t""")
 def get_under_policies(spark, sf):
     """A whole float under integers of each width, and under single precision; integers of 128 bits."""
-    value = F.col("o_orderkey") * 1_000_000 + 1
+    value = F.col("o_orderkey") % 40_000 * 100_000 + 1  # digits before the point that overflow 32 bits would be an error
     df = table(spark, sf, "orders").select("o_orderkey", F.concat(value.cast("string"), F.lit(".0")).alias("j"), F.concat(value.cast("string"), F.lit("0" * 20)).alias("n"))
     under = lambda p, kind="integer", c="j": json_get(json_parse(c, p), None, kind, p)
     i16, i32, i64, i128 = (Policy(int_bits=b) for b in (16, 32, 64, 128))
