@@ -350,8 +350,9 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     held = _sets(_rows(docs, id_, text).join(small(chosen.select("id").distinct()), "id", "left_semi"), words)
     held = written(held.join(chosen.select("k1", "k2", F.col("class").alias("id")), ["k1", "k2"]).select("id", "tokens"), "sets")
     stars = written(_stars(posts, held, percent), "stars")
-    labels = components(stars).withColumnRenamed("component", "label")
-    posts = posts.drop("pivot").join(written(labels, "labels"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # the pivot's pivot, or the pivot: one label does tell that sets are connected, which is all it is used for
+    labels = stars.join(stars.toDF("b", "c"), "b", "left").select(F.col("a").alias("id"), F.coalesce("c", "b").alias("label"))
+    posts = posts.drop("pivot").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     shared = posts.groupBy("token", "layer").agg(F.min("id").alias("pivot"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
     posts = posts.join(shared.drop("a", "b"), ["token", "layer"])
     alive = posts.groupBy("id", "layer").agg(enough.alias("ok")).where("ok").select("id", "layer")
