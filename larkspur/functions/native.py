@@ -118,7 +118,8 @@ def flat_events(text: Column, policy: Policy) -> Column:
             name = name.when(c == mark, what)
         name = name.otherwise(F.when(floating, "float").otherwise("integer"))
         body = F.split_part(t, F.lit('"'), F.lit(2))
-        inside = F.substring(F.get(tokens, F.lit(0)), 1, 1).isin("{", "[") & ~c.isin("{", "}", "[", "]")
+        # the text is looked at again for each token; the tokens would be cut up again
+        inside = text.cast("string").rlike(r"\A[ \t\n\r]*+[\[{]") & ~c.isin("{", "}", "[", "]")
         whole = F.when(t.contains("."), truncated(number).try_cast("bigint")).otherwise(t.try_cast("bigint"))
         return F.struct(
             name.alias("event"),
