@@ -2,7 +2,9 @@
 
 Chunks are rows (id, seq INT, chunk BINARY, is_last BOOLEAN). Per document the state store keeps a Reader's state (open
 brackets, place, the token being read), the handler, and the chunks that came ahead of their turn; what has been read is
-not kept and not read again.
+not kept and not read again. Documents are handled many to a group, since the cost of a group is that of reading many
+small ones; a group's state is one value, a short mark for each document that has ended and what is said above for the
+others. Ids other than integers and strings make a group each.
 
 Rules, the same for all operators here:
 
@@ -20,11 +22,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,7 +39,11 @@ from larkspur.policy import Policy
 from larkspur.storage import fresh_path
 
 MISSING = "chunks_missing"
-_STATE = "expected int, bytes long, reader string, handler binary, seq int, done boolean, ahead array<struct<seq:int,chunk:binary,is_last:boolean>>"
+_STATE = "docs binary"
+#: Documents are dealt to so many groups by their ids; a batch writes anew the states of the groups it has chunks for.
+_GROUPS = 1 << 12
+#: Rows after which a group's output is handed on.
+_ROWS = 10_000
 _UNITS = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
 
 
@@ -49,54 +57,123 @@ def _milliseconds(duration: str) -> int:
 class Part:
     """A document after a batch. seq: events given so far; ended: whether it is over; lost: whether it was given up."""
 
+    __slots__ = ("key", "reader", "handler", "chunks", "size", "seq", "ended", "lost")
+
     def __init__(self, key: Any, reader: Reader, handler: Handler, chunks: int, size: int, seq: int, ended: bool, lost: bool):
         self.key, self.reader, self.handler = key, reader, handler
         self.chunks, self.size, self.seq, self.ended, self.lost = chunks, size, seq, ended, lost
 
 
+class _Doc:
+    """A document that has not ended. due: chunks in order, to be read at the end of a frame; fresh: read in this batch."""
+
+    __slots__ = ("expected", "size", "reader", "seq", "waiting", "due", "fresh")
+
+    def __init__(self, expected: int, size: int, reader: Reader, seq: int, waiting: dict[int, tuple[bytes, bool]]):
+        self.expected, self.size, self.reader, self.seq, self.waiting = expected, size, reader, seq, waiting
+        self.due, self.fresh = [], False
+
+    def take(self, seq: int, chunk: bytes, last: bool) -> bool:
+        """Takes a chunk, and those it was awaited by; whether the document is complete."""
+        if seq != self.expected:
+            self.waiting.setdefault(seq, (chunk, last))
+            return False
+        while True:
+            self.due.append(chunk)
+            self.expected += 1
+            if last or self.expected not in self.waiting:
+                return last
+            chunk, last = self.waiting.pop(self.expected)
+
+    def read(self, last: bool) -> None:
+        if self.due:
+            self.size, self.fresh = self.size + sum(map(len, self.due)), True
+            self.reader.feed_all(self.due, last)
+            self.due = []
+
+
+def _many_to_a_group(kind: T.DataType) -> bool:
+    """Whether ids are equal in Python if and only if they are in Spark, and come and go unchanged."""
+    return isinstance(kind, T.IntegralType) or type(kind) is T.StringType and kind == T.StringType()
+
+
 def _each(chunks: DataFrame, schema: T.StructType, emit: Callable[[Part], list[tuple]], handler: Callable[[], Handler], policy: Policy | None, timeout: str | None) -> DataFrame:
     policy, wait = policy or Policy(), _milliseconds(timeout) if timeout else None
     mode = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
-    output = T.StructType([T.StructField("id", chunks.schema["id"].dataType), *schema.fields])
+    kind = chunks.schema["id"].dataType
+    output, many = T.StructType([T.StructField("id", kind), *schema.fields]), _many_to_a_group(kind)
 
-    def frame(part: Part) -> pd.DataFrame:
-        rows = [(part.key, *r) for r in emit(part)]
-        return pd.DataFrame({f.name: pd.Series([r[k] for r in rows], dtype="object") for k, f in enumerate(output)})
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({f.name: pd.Series(c, dtype="object") for f, c in zip(output, zip(*rows, strict=True), strict=True)})
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            expected, size, stored, held, seq, done, ahead = state.get
-            reader = Reader(policy, cloudpickle.loads(bytes(held))).load(stored)
-        else:
-            expected, size, seq, done, ahead, reader = 0, 0, 0, False, [], Reader(policy, handler())
-        waiting = {int(r[0]): (bytes(r[1]), bool(r[2])) for r in ahead}
-        if state.hasTimedOut:
+        now = state.getCurrentProcessingTimeMs()
+        until = None if wait is None else now + wait
+        # of ended documents until when the mark stays; of others (until, expected, size, reader, handler, seq, ahead)
+        over, kept = cloudpickle.loads(bytes(state.get[0])) if state.exists else ({}, {})
+        one = not many or key[0] < 0  # the ids of this group are one: the key, or null
+        rows: list[tuple] = []
+        docs: dict[Any, _Doc] = {}
+
+        def taken_up(i: Any) -> _Doc:
+            if i not in kept:
+                return _Doc(0, 0, Reader(policy, handler()), 0, {})
+            _, expected, size, stored, held, seq, ahead = kept.pop(i)
+            return _Doc(expected, size, Reader(policy, held).load(stored), seq, ahead)
+
+        def tell(i: Any, doc: _Doc, ended: bool, lost: bool) -> None:
+            part = Part(None if many and one else key[0] if one else i, doc.reader, doc.reader.handler, doc.expected, doc.size, doc.seq, ended, lost)
+            rows.extend((part.key, *r) for r in emit(part))
+            doc.seq = part.seq
+
+        for f in () if state.hasTimedOut else frames:
+            ended = []
+            ids = [None] * len(f) if one else f["id"].tolist()
+            for i, s, c, e in zip(ids, f["seq"].tolist(), f["chunk"].tolist(), f["is_last"].tolist(), strict=True):
+                if i in over:
+                    over[i] = until
+                    continue
+                doc = docs.get(i)
+                if doc is None:
+                    doc = docs[i] = taken_up(i)
+                s = int(s)
+                if s >= doc.expected and doc.take(s, bytes(c), bool(e)):
+                    over[i] = until
+                    ended.append((i, docs.pop(i)))
+            for i, doc in ended:
+                doc.read(True)
+                tell(i, doc, True, False)
+                if len(rows) >= _ROWS:
+                    yield frame(rows)
+                    rows.clear()
+            for doc in docs.values():
+                doc.read(False)
+        for i, doc in docs.items():
+            if doc.fresh:
+                tell(i, doc, False, False)
+            kept[i] = (until, doc.expected, doc.size, doc.reader.dump(), doc.reader.handler, doc.seq, doc.waiting)
+            if len(rows) >= _ROWS:
+                yield frame(rows)
+                rows.clear()
+        if wait is not None:
+            for i in [i for i, k in kept.items() if k[0] < now]:
+                tell(i, taken_up(i), True, True)
+            over = {i: t for i, t in over.items() if t >= now}
+        if rows:
+            yield frame(rows)
+        if not over and not kept:
             state.remove()
-            if not done:
-                yield frame(Part(key[0], reader, reader.handler, expected, size, seq, True, True))
             return
-        for f in frames:
-            for s, c, e in zip(f["seq"], f["chunk"], f["is_last"], strict=True):
-                if not done and int(s) >= expected:
-                    waiting.setdefault(int(s), (bytes(c), bool(e)))
-        read = False
-        while not done and expected in waiting:
-            chunk, done = waiting.pop(expected)
-            expected, size, read = expected + 1, size + len(chunk), True
-            reader.feed(chunk)
-        if read:
-            if done:
-                reader.end()
-            part = Part(key[0], reader, reader.handler, expected, size, seq, done, False)
-            yield frame(part)
-            seq = part.seq
-        held = cloudpickle.dumps(Handler() if done else reader.handler)
-        rest = [] if done else [(s, c, e) for s, (c, e) in sorted(waiting.items())]
-        state.update((expected, size, Reader(policy).dump() if done else reader.dump(), held, seq, done, rest))
+        state.update((cloudpickle.dumps((over, kept)),))
         if wait is not None:
-            state.setTimeoutDuration(wait)
-
-    return chunks.groupBy("id").applyInPandasWithState(step, output, _STATE, "append", mode)
+            state.setTimeoutDuration(max(min(chain(over.values(), (k[0] for k in kept.values()))) - now, 1))
+
+    if many:
+        group = F.when(F.col("id").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(_GROUPS)).cast("int"))
+    else:
+        group = F.col("id")
+    rows = chunks.select(group.alias("group"), "id", "seq", "chunk", "is_last")
+    return rows.groupBy("group").applyInPandasWithState(step, output, _STATE, "append", mode)
 
 
 def _fields(**kinds: T.DataType) -> T.StructType:

@@ -240,6 +240,33 @@ def test_reader_of_pieces_is_the_reader():
         assert (reader.error, reader.input_pos, seen.events) == (out.error, position(t, out.at), whole.events), (t, policy)
 
 
+def test_pieces_fed_at_once_are_pieces_fed_one_by_one():
+    import random
+
+    r = random.Random(6)
+    for k, t in enumerate(mixed_texts(10, 4000)):
+        policy, data = POLICIES[k % len(POLICIES)], t.encode()
+        if r.random() < 0.2:  # malformed somewhere
+            at = r.randint(0, len(data))
+            data = data[:at] + b"\xff" + data[at:]
+        cuts = sorted(r.randint(0, len(data)) for _ in range(r.randint(0, 5)))
+        pieces = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True)]
+        for last in (False, True):
+            first = r.randint(0, len(pieces)) if r.random() < 0.5 else 0
+            one, all_ = Reader(policy, Recorder()), Reader(policy, Recorder())
+            for p in pieces:
+                one.feed(p)
+            for p in pieces[:first]:
+                all_.feed(p)
+            all_.feed_all(pieces[first:], last)
+            if last:
+                one.end()
+            told = [(x.error, x.pos, x.input_pos, x.utf8_ok, x.ended, x.handler.events) for x in (one, all_)]
+            assert told[0] == told[1], (data, pieces, policy)
+            if not last and one.ok:
+                assert one.dump() == all_.dump()
+
+
 def test_reader_keeps_little(spark):
     reader = Reader(WIDE)
     reader.feed("[" + "1 , " * 5000 + '"begun')
@@ -274,6 +301,58 @@ def test_stream_of_chunks_delivered_again_and_lost(spark, tmp_path):
     assert sorted((r.id, r.chunks, r.token_column, r.column) for r in progress if r.id == 2) == [(2, 1, 5, 5), (2, 2, 6, 7)]
 
 
+def state_rows(spark, stream, path) -> int:
+    q = stream.writeStream.format("noop").option("checkpointLocation", str(path)).trigger(availableNow=True).start()
+    assert q.awaitTermination(100)
+    return next(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"])
+
+
+def test_stream_check_handles_many_documents_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("larkspur.streaming._GROUPS", 7, raising=False)
+    spark.range(2000).coalesce(1).write.parquet(str(tmp_path / "in"))
+    pieces = split_chunks(spark.readStream.schema("id long").parquet(str(tmp_path / "in")).withColumn("j", F.col("id").cast("string")), "id", "j", 2)
+    assert state_rows(spark, check_stream(pieces), tmp_path / "cp") <= 7  # each a call to Python
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "date", "decimal(20,2)", "double"])
+def test_stream_of_any_ids_in_common_groups(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr("larkspur.streaming._GROUPS", 1, raising=False)
+    ids = {n: F.lit(n).cast("string") for n in ("1", "2", "3")} | {None: F.lit(None).cast("string")}
+    if kind == "long":
+        ids["2"] = F.lit(str((1 << 60) + 1))
+    folder = tmp_path / "in"
+    for rows in ([("1", 0, b"[1", False), ("2", 1, b"]", True), ("1", 0, b"[9", False), (None, 0, b"[", False)], [("1", 1, b"]", True), ("3", 0, b"", True), ("1", 0, b"x", True)], [("2", 0, b"[2", False), ("1", 1, b"]", True), (None, 1, b"7]", True)]):
+        parts = [spark.range(1).select((F.to_date(F.concat(F.lit("2024-01-0"), ids[i])) if kind == "date" else ids[i].cast(kind)).alias("id"), F.lit(s).alias("seq"), F.lit(bytearray(c)).alias("chunk"), F.lit(e).alias("is_last")) for i, s, c, e in rows]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.union(p)
+        whole.coalesce(1).write.mode("append").parquet(str(folder))
+    schema = spark.read.parquet(str(folder)).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = run(spark, check_stream(stream), tmp_path / "cp", f"ids_{kind[:3]}", availableNow=True)
+    names = {spark.range(1).select((F.to_date(F.concat(F.lit("2024-01-0"), v)) if kind == "date" else v.cast(kind)).alias("v")).first().v: k for k, v in ids.items()}
+    told = sorted(((names[r.id], r.ok, r.error, r.chunks, r.bytes) for r in got), key=str)
+    assert told == sorted([("1", True, None, 2, 3), ("2", True, None, 2, 3), ("3", False, "expected_token", 1, 0), (None, True, None, 2, 3)], key=str)
+
+
+def test_stream_gives_up_documents_of_one_group_each_in_its_time(spark, tmp_path, monkeypatch):
+    import time
+
+    monkeypatch.setattr("larkspur.streaming._GROUPS", 1, raising=False)
+    folder = tmp_path / "in"
+    put(spark, folder, (1, 0, b"[1", False), (2, 0, b"[]", True), (4, 0, b"[4", False))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    out = check_stream(stream, timeout="3 second").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+    for rows, pause in ([(4, 1, b",", False)], 3.5), ([(4, 2, b"4]", True), (2, 0, b"[]", True)], 0):
+        assert out.trigger(once=True).start().awaitTermination(100)
+        time.sleep(pause)
+        put(spark, folder, *rows)
+    assert out.trigger(once=True).start().awaitTermination(100)
+    got = sorted((r.id, r.ok, r.error, r.chunks) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # 1 is given up; 4 goes on, since its chunk is there when its time is over; 2 ends again once forgotten
+    assert got == [(1, False, "chunks_missing", 1), (2, True, None, 1), (2, True, None, 1), (4, True, None, 3)]
+
+
 def test_stream_gives_up_lost_documents(spark, tmp_path):
     import time
 
