@@ -103,8 +103,9 @@ def _each(chunks: DataFrame, schema: T.StructType, emit: Callable[[Part], list[t
     kind = chunks.schema["id"].dataType
     output, many = T.StructType([T.StructField("id", kind), *schema.fields]), _many_to_a_group(kind)
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({f.name: pd.Series(c, dtype="object") for f, c in zip(output, zip(*rows, strict=True), strict=True)})
+    def frame(keys: list, rows: list[tuple]) -> pd.DataFrame:
+        columns = [keys, *zip(*rows, strict=True)]
+        return pd.DataFrame({f.name: pd.Series(c, dtype="object") for f, c in zip(output, columns, strict=True)})
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentProcessingTimeMs()
@@ -112,6 +113,7 @@ def _each(chunks: DataFrame, schema: T.StructType, emit: Callable[[Part], list[t
         # of ended documents until when the mark stays; of others (until, expected, size, reader, handler, seq, ahead)
         over, kept = cloudpickle.loads(bytes(state.get[0])) if state.exists else ({}, {})
         one = not many or key[0] < 0  # the ids of this group are one: the key, or null
+        keys: list[Any] = []
         rows: list[tuple] = []
         docs: dict[Any, _Doc] = {}
 
@@ -123,7 +125,9 @@ def _each(chunks: DataFrame, schema: T.StructType, emit: Callable[[Part], list[t
 
         def tell(i: Any, doc: _Doc, ended: bool, lost: bool) -> None:
             part = Part(None if many and one else key[0] if one else i, doc.reader, doc.reader.handler, doc.expected, doc.size, doc.seq, ended, lost)
-            rows.extend((part.key, *r) for r in emit(part))
+            got = emit(part)
+            keys.extend([part.key] * len(got))
+            rows.extend(got)
             doc.seq = part.seq
 
         for f in () if state.hasTimedOut else frames:
@@ -144,8 +148,8 @@ def _each(chunks: DataFrame, schema: T.StructType, emit: Callable[[Part], list[t
                 doc.read(True)
                 tell(i, doc, True, False)
                 if len(rows) >= _ROWS:
-                    yield frame(rows)
-                    rows.clear()
+                    yield frame(keys, rows)
+                    keys, rows = [], []
             for doc in docs.values():
                 doc.read(False)
         for i, doc in docs.items():
@@ -153,14 +157,14 @@ def _each(chunks: DataFrame, schema: T.StructType, emit: Callable[[Part], list[t
                 tell(i, doc, False, False)
             kept[i] = (until, doc.expected, doc.size, doc.reader.dump(), doc.reader.handler, doc.seq, doc.waiting)
             if len(rows) >= _ROWS:
-                yield frame(rows)
-                rows.clear()
+                yield frame(keys, rows)
+                keys, rows = [], []
         if wait is not None:
             for i in [i for i, k in kept.items() if k[0] < now]:
                 tell(i, taken_up(i), True, True)
             over = {i: t for i, t in over.items() if t >= now}
         if rows:
-            yield frame(rows)
+            yield frame(keys, rows)
         if not over and not kept:
             state.remove()
             return
@@ -211,16 +215,29 @@ def stream_progress(chunks: DataFrame, policy: Policy | None = None, timeout: st
     return _each(chunks, schema, emit, Handler, policy, timeout)
 
 
+class _Rows(Recorder):
+    """Lists the events as rows (event, depth, key, str, i, f, b)."""
+
+    def _add(self, name: str, value: Any = None):
+        self.events.append(event_row(name, value, self.depth))
+
+    def key(self, value: str):
+        self.events.append(("key", self.depth, value, None, None, None, None))
+
+    def string(self, value: str):
+        self.events.append(("string", self.depth, None, value, None, None, None))
+
+
 def stream_events(chunks: DataFrame, policy: Policy | None = None, timeout: str | None = None) -> DataFrame:
     """Rows (id, seq, event, depth, key, str, i, f, b): a document's events, as soon as its chunks have brought them."""
 
     def emit(part: Part) -> list[tuple]:
         new, part.handler.events = part.handler.events, []
         first, part.seq = part.seq, part.seq + len(new)
-        return [(first + k, *event_row(*e)) for k, e in enumerate(new)]
+        return [(first + k, *e) for k, e in enumerate(new)]
 
     schema = T.StructType([T.StructField("seq", _INT), *EVENTS.elementType.fields])
-    return _each(chunks, schema, emit, Recorder, policy, timeout)
+    return _each(chunks, schema, emit, _Rows, policy, timeout)
 
 
 def stream_accumulate(chunks: DataFrame, handler: Callable[[], Handler], schema: T.DataType, policy: Policy | None = None, timeout: str | None = None) -> DataFrame:

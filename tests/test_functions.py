@@ -314,6 +314,17 @@ def test_stream_check_handles_many_documents_at_once(spark, tmp_path, monkeypatc
     assert state_rows(spark, check_stream(pieces), tmp_path / "cp") <= 7  # each a call to Python
 
 
+def test_stream_events_handles_many_documents_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("larkspur.streaming._GROUPS", 3, raising=False)
+    monkeypatch.setattr("larkspur.streaming._ROWS", 50, raising=False)
+    texts = [t for t in mixed_texts(11, 600) if t]
+    frame(spark, *texts).coalesce(1).write.parquet(str(tmp_path / "in"))
+    pieces = split_chunks(spark.readStream.schema("id int, j string").parquet(str(tmp_path / "in")), "id", "j", 3)
+    got = run(spark, stream_events(pieces, WIDE), tmp_path / "c1", "many_events", availableNow=True)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, json_events(frame(spark, *texts), "id", "j", WIDE).collect()))
+    assert state_rows(spark, stream_events(pieces, WIDE), tmp_path / "c2") <= 3
+
+
 @pytest.mark.parametrize("kind", ["long", "string", "date", "decimal(20,2)", "double"])
 def test_stream_of_any_ids_in_common_groups(spark, tmp_path, monkeypatch, kind):
     monkeypatch.setattr("larkspur.streaming._GROUPS", 1, raising=False)
