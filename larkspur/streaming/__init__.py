@@ -121,7 +121,7 @@ def _each(chunks: DataFrame, schema: T.StructType, emit: Callable[[Part], list[t
             if i not in kept:
                 return _Doc(0, 0, Reader(policy, handler()), 0, {})
             _, expected, size, stored, held, seq, ahead = kept.pop(i)
-            return _Doc(expected, size, Reader(policy, held).load(stored), seq, ahead)
+            return _Doc(expected, size, Reader(policy, held).take_up(stored), seq, ahead)
 
         def tell(i: Any, doc: _Doc, ended: bool, lost: bool) -> None:
             part = Part(None if many and one else key[0] if one else i, doc.reader, doc.reader.handler, doc.expected, doc.size, doc.seq, ended, lost)
@@ -155,7 +155,7 @@ def _each(chunks: DataFrame, schema: T.StructType, emit: Callable[[Part], list[t
         for i, doc in docs.items():
             if doc.fresh:
                 tell(i, doc, False, False)
-            kept[i] = (until, doc.expected, doc.size, doc.reader.dump(), doc.reader.handler, doc.seq, doc.waiting)
+            kept[i] = (until, doc.expected, doc.size, doc.reader.state(), doc.reader.handler, doc.seq, doc.waiting)
             if len(rows) >= _ROWS:
                 yield frame(keys, rows)
                 keys, rows = [], []

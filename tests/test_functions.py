@@ -325,6 +325,25 @@ def test_stream_events_handles_many_documents_at_once(spark, tmp_path, monkeypat
     assert state_rows(spark, stream_events(pieces, WIDE), tmp_path / "c2") <= 3
 
 
+def test_stream_progress_handles_many_documents_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("larkspur.streaming._GROUPS", 3, raising=False)
+    folder, ids = tmp_path / "in", range(500)
+    cut = {i: f'[{i},\n"{i}é" '.encode() for i in ids}  # three batches, the last of which comes first for odd ones
+    for k in range(3):
+        put(spark, folder, *((i, (k, 2 - k)[i % 2], cut[i][5 * (k, 2 - k)[i % 2] :][: None if (k, 2 - k)[i % 2] == 2 else 5], False) for i in ids))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = run(spark, stream_progress(stream), tmp_path / "c1", "many_progress", availableNow=True)
+    want = []
+    for i in ids:
+        reader = Reader(Policy())
+        for n, piece in enumerate((cut[i][:5], cut[i][5:10], cut[i][10:]), 1):
+            reader.feed(piece)
+            if n == 3 or i % 2 == 0:
+                want.append((i, False, reader.error, *reader.pos, *reader.input_pos, n))
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert state_rows(spark, stream_progress(stream), tmp_path / "c2") <= 3
+
+
 @pytest.mark.parametrize("kind", ["long", "string", "date", "decimal(20,2)", "double"])
 def test_stream_of_any_ids_in_common_groups(spark, tmp_path, monkeypatch, kind):
     monkeypatch.setattr("larkspur.streaming._GROUPS", 1, raising=False)
